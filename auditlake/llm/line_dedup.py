@@ -48,12 +48,12 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     found = stash(places.join(repeated, "h").select("doc_id", "at", "h", (F.struct("doc_id", "at").eqNullSafe(F.col("first"))).alias("stays")))
     marks = found.groupBy(F.col("doc_id").alias("mark_id")).agg(F.collect_set(F.struct("at", "h", "stays")).alias("marks"))  # at most the chunks of one document
     # The byte comparison: all candidates of one hash against each other, as their least and their greatest text.
-    own = cut.select("doc_id", "lines", "chunks").join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")))
+    own = cut.select("doc_id", "lines", "chunks").join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("mark_id")))
     texts = own.select(F.explode("marks").alias("m"), "lines", "chunks").select("m.h", F.filter("chunks", lambda c: c["at"] == F.col("m.at"))[0].alias("c"), "lines").where("c.h = h").select("h", _lines("lines", F.col("c.at"), F.col("c.n")).alias("bytes"))
-    checked = texts.groupBy("h").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).select("h", (F.col("lo") == F.col("hi")).alias("same"))
+    checked = stash(texts.groupBy("h").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).select("h", (F.col("lo") == F.col("hi")).alias("same")))
     sure = found.join(checked, "h").where("same and not stays").select("doc_id", "at", "h")
     # Two texts under one hash: these few are grouped by their bytes themselves.
-    clash = stash(checked.where("not same").select("h"))
+    clash = checked.where("not same").select("h")
     if clash.head(1):
         rare = own.select("doc_id", F.explode("chunks").alias("c"), "lines").select("doc_id", F.col("c.at").alias("at"), F.col("c.h").alias("h"), _lines("lines", F.col("c.at"), F.col("c.n")).alias("bytes")).join(clash, "h")
         least = rare.groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "at")).alias("first"))
@@ -63,7 +63,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _without(slim: DataFrame, gone: DataFrame, window: int, mean_lines: int) -> DataFrame:
-    joined = _with_chunks(slim.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left"), window, mean_lines)
+    joined = _with_chunks(slim.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left"), window, mean_lines)
     hit = lambda c: F.coalesce(F.array_contains("gone", F.struct(c["at"].alias("at"), c["h"].alias("h"))), F.lit(False))
     kept = F.filter("chunks", lambda c: ~hit(c))
     lost = F.filter("chunks", hit)
