@@ -1,7 +1,7 @@
 """Operator 5, exact dedup by content sort, in DataFrame functions only.
 
-Texts are range-partitioned by their normalised bytes with splitters that Spark samples, each partition is
-sorted externally, and the window over the sorted run compares every text in full with its neighbour. A text
+Texts are range-partitioned by the head of their normalised bytes (a hash of the whole orders those with one head) with
+splitters that Spark samples, each partition is sorted externally by all bytes, and the window over the sorted run compares every text in full with its neighbour. A text
 that very many rows share would fill one partition; such texts are known beforehand from a count of 64-bit
 hashes (pre-aggregated before its shuffle) and their rows carry a salt in the sort key, so that splitters fall
 inside the run. The parts of a salted run are joined by SHA-256 afterwards.
@@ -16,6 +16,8 @@ from .common import ascii_lower, stash, table
 
 #: A text is hot at HOT_LEAST rows and one HOT_SHARE-th of all rows; so at most HOT_SHARE texts can be hot.
 HOT_LEAST, HOT_SHARE, SALTS = 2000, 400, 64
+#: Characters of a splitter; Spark's sample of splitters goes to the driver, so these are bounded and a hash stands for the rest.
+HEAD = 64
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -30,13 +32,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = max(HOT_LEAST, -(-docs.count() // HOT_SHARE))
     hot = rows.groupBy(F.xxhash64("norm").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h", F.lit(True).alias("hot"))
     rows = rows.join(F.broadcast(hot), F.xxhash64("norm") == hot["h"], "left").select(  # at most HOT_SHARE rows
-        "doc_id", "norm", F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).alias("salt")
+        "doc_id", F.left("norm", F.lit(HEAD)).alias("head"), F.xxhash64("norm").alias("tie"), "norm", F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).alias("salt")
     )
-    in_run = Window.partitionBy("norm", "salt").orderBy("doc_id")
+    in_run = Window.partitionBy("head", "tie", "norm", "salt").orderBy("doc_id")
     run = in_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pick = F.max if keep == "max" else F.min
     part = stash(
-        rows.repartitionByRange("norm", "salt").select(
+        rows.repartitionByRange("head", "tie", "salt").select(
             "doc_id", F.sha2("norm", 256).alias("text_sha256"), "salt", F.count("*").over(run).alias("size"), pick("doc_id").over(run).alias("keep"), F.row_number().over(in_run).alias("nth")
         )
     )
