@@ -28,7 +28,7 @@ from .common import stash, table
 
 WINDOW = 13
 #: The filter's bits (32 MB); bytes of text that a batch gathers; windows and suffixes that a group is to hold.
-FILTER_BITS, BATCH_BYTES, GROUP_WINDOWS, GROUP_SUFFIXES, MOST_GROUPS = 1 << 28, 8 << 20, 1 << 16, 1 << 19, 4096
+FILTER_BITS, BATCH_BYTES, GROUP_WINDOWS, GROUP_SUFFIXES, MOST_GROUPS = 1 << 28, 4 << 20, 1 << 16, 1 << 19, 4096
 #: Words that can't end a prefix are the most frequent of about SAMPLE_DOCS documents. They balance tasks and change no result.
 FREQUENT, SAMPLE_DOCS = 256, 2000
 #: Runs of all documents together under this size are broadcast; else documents and runs are joined by shuffling.
@@ -55,10 +55,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     lengths = ends - starts
     power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(int(lengths.max()), _A))))
-    first = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    place = np.arange(len(first))
-    inside = place + first  # where each byte of a word is in data
-    value = (data[inside].astype(np.uint64) + np.uint64(1)) * power[inside - np.repeat(starts, lengths)]
+    inside = np.flatnonzero(~space)  # the bytes of words
+    value = power[inside - np.repeat(starts, lengths)]
+    value *= data[inside].astype(np.uint64) + np.uint64(1)
     sums = np.add.reduceat(value, np.cumsum(lengths) - lengths)
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
     return _mixed(sums + lengths.astype(np.uint64) * _B), owner
