@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, stash, table
 
-DEPTH, CONTEXT_SHARE = 5, 1 << 15
+DEPTH, CONTEXT_SHARE = 5, 1 << 14
 #: Words whose counts are broadcast, and their greatest length in bytes; all other words are joined by shuffling.
 FREQUENT, WORD_BYTES = 1 << 18, 64
 _CHUNK, _LANE, _MERGE = 4 << 20, 256, 3_000_000
@@ -123,42 +123,42 @@ def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     depth = len(levels) - 1
     sizes = [len(c) for c, _, _ in levels]
     base = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    counts = []
-    for contexts, keys, c in levels:
+
+    def dense(d: int) -> np.ndarray:
+        contexts, keys, c = levels[d]
         own = np.zeros((len(contexts), 256))
         own[np.searchsorted(contexts, keys >> np.uint64(8)), (keys & np.uint64(255)).astype(int)] = c
-        counts.append(own)
+        return own
+
     # The context that lacks the first, oldest byte.
     shorter = [np.zeros(0, np.int64)] + [np.searchsorted(levels[d - 1][0], levels[d][0] & np.uint64((1 << (8 * (d - 1))) - 1)) for d in range(1, depth + 1)]
-    weighted, weight, rest = [np.zeros(0)] * (depth + 1), [np.zeros(0)] * (depth + 1), [np.zeros(0)] * (depth + 1)
+    weight, rest = [np.zeros(0)] * (depth + 1), [np.zeros(0)] * (depth + 1)
+    weighted = longer_counts = None  # of the next depth
     for d in range(depth, -1, -1):
-        own = _kt(_nodes(counts[d]))
+        counts = dense(d)
+        own = _by_rows(lambda c: _kt(_nodes(c)), counts)
         if d == depth:
-            weighted[d], weight[d], rest[d] = own, np.ones_like(own), counts[d]
-            continue
-        rest[d] = counts[d].copy()
-        below = np.zeros_like(own)
-        if sizes[d + 1]:
-            np.subtract.at(rest[d], shorter[d + 1], counts[d + 1])
-            np.add.at(below, shorter[d + 1], weighted[d + 1])
-        below += _kt(_nodes(np.maximum(rest[d], 0)))
-        weighted[d] = np.logaddexp(own, below) - np.log(2)
-        weight[d] = np.exp(own - np.log(2) - weighted[d])
+            weighted, weight[d], rest[d] = own, np.ones(own.shape, np.float32), counts.astype(np.float32)
+        else:
+            left = counts.copy()
+            below = np.zeros_like(own)
+            if sizes[d + 1]:
+                np.subtract.at(left, shorter[d + 1], longer_counts)
+                np.add.at(below, shorter[d + 1], weighted)
+            below += _by_rows(lambda c: _kt(_nodes(c)), left)
+            weighted = np.logaddexp(own, below) - np.log(2)
+            weight[d], rest[d] = np.exp(own - np.log(2) - weighted).astype(np.float32), left.astype(np.float32)
+        longer_counts = counts
     bits = np.zeros((base[-1], 256), np.float32)
     step = np.zeros((base[-1], 256), np.int32)
     before = left = None
     for d in range(depth + 1):
-        chance = lambda c: (lambda p: (p[:, 1::2] + 0.5) / (p[:, 0::2] + p[:, 1::2] + 1))(_nodes(np.maximum(c, 0)))
-        own = chance(counts[d])
         up = shorter[d]
-        mixed = weight[d] * own if d == 0 else before[up] + left[up] * weight[d] * own
-        open_ = 1 - weight[d] if d == 0 else left[up] * (1 - weight[d])
-        one = mixed + open_ * chance(rest[d])
-        length = np.zeros((sizes[d], 512))
-        for n in range(1, 256):
-            length[:, 2 * n] = length[:, n] - np.log2(1 - one[:, n])
-            length[:, 2 * n + 1] = length[:, n] - np.log2(one[:, n])
-        bits[base[d] : base[d + 1]] = length[:, 256:]
+        own = _by_rows(_chance, dense(d)) * weight[d]
+        mixed = own if d == 0 else before[up] + left[up] * own
+        open_ = 1.0 - weight[d] if d == 0 else left[up] * (1.0 - weight[d])
+        weight[d] = np.zeros(0)
+        bits[base[d] : base[d + 1]] = _by_rows(_lengths, mixed + open_ * _by_rows(_chance, rest[d].astype(float)))
         step[base[d] : base[d + 1]] = step[base[d - 1] + up] if d else 0
         if d < depth and sizes[d + 1]:
             longer = levels[d + 1][0]
@@ -168,6 +168,26 @@ def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return bits, step
 
 
+def _by_rows(f, rows: np.ndarray, size: int = 1024) -> np.ndarray:
+    """f of some rows at a time: its working memory is bounded."""
+    return np.concatenate([f(rows[i : i + size]) for i in range(0, len(rows), size)]) if len(rows) else np.zeros((0, 256))
+
+
+def _chance(counts: np.ndarray) -> np.ndarray:
+    """The KT probability that the choice at each node is one."""
+    p = _nodes(counts)
+    return (p[:, 1::2] + 0.5) / (p[:, 0::2] + p[:, 1::2] + 1)
+
+
+def _lengths(one: np.ndarray) -> np.ndarray:
+    """Bits of each byte, from the probabilities of one at the nodes."""
+    out = np.zeros((len(one), 512))
+    for n in range(1, 256):
+        out[:, 2 * n] = out[:, n] - np.log2(1 - one[:, n])
+        out[:, 2 * n + 1] = out[:, n] - np.log2(one[:, n])
+    return out[:, 256:]
+
+
 def fit(grams: DataFrame, depth: int = DEPTH, share: int = CONTEXT_SHARE) -> tuple[np.ndarray, np.ndarray]:
     """The automaton of the byte counts. At each depth at most share contexts are kept, by their counts alone."""
     total = grams.agg(F.sum("c")).first()[0] or 0
@@ -228,6 +248,19 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """Words of a count that at most `most` words reach, without a sort: a histogram over eighths of a doubling gives the bound."""
+    short = words.where(F.octet_length("word") <= WORD_BYTES)
+    grade = F.floor(F.log2("c") * 8)
+    least, held = float("inf"), 0
+    for g, n in short.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("g")).collect():  # some 500 rows
+        held += n
+        if held > most:
+            break
+        least = g
+    return short.where(grade >= F.lit(least))
+
+
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, share: int = CONTEXT_SHARE, frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -252,7 +285,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     n_train = (tokens or 0) + ends
     log_all = float(np.log10(n_train + 0.5 * (types + (ends > 0) + 1)))
     log_end = float(np.log10(ends + 0.5))
-    top = words.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(frequent).toPandas()
+    top = most_frequent(words, frequent).toPandas()
     known = (b" ".join(top["word"]), np.log10(top["c"].to_numpy(float) + 0.5))  # frequent * WORD_BYTES bytes at most
     shared = spark.sparkContext.broadcast((model, known))
 
