@@ -28,7 +28,7 @@ from .common import stash, table
 
 WINDOW = 13
 #: The filter's bits (32 MB); bytes of text that a batch gathers; windows and suffixes that a group is to hold.
-FILTER_BITS, BATCH_BYTES, GROUP_WINDOWS, GROUP_SUFFIXES, MOST_GROUPS = 1 << 28, 4 << 20, 1 << 16, 1 << 19, 4096
+FILTER_BITS, BATCH_BYTES, GROUP_WINDOWS, GROUP_SUFFIXES, MOST_GROUPS = 1 << 28, 2 << 20, 1 << 16, 1 << 19, 4096
 #: Words that can't end a prefix are the most frequent of about SAMPLE_DOCS documents. They balance tasks and change no result.
 FREQUENT, SAMPLE_DOCS = 256, 2000
 #: Runs of all documents together under this size are broadcast; else documents and runs are joined by shuffling.
@@ -139,7 +139,7 @@ def _symbols(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def _repeats(slim: DataFrame, size: int, filter_: np.ndarray, width: int, groups: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, rk, at): packed starts of the windows whose words also start in a document with a smaller id."""
+    """(to, ids, rks, at): packed starts of the windows whose words also start in a document with a smaller id, dealt by document."""
     shared = slim.sparkSession.sparkContext.broadcast(filter_)
     mask = np.uint64((1 << (8 * width)) - 1)
 
@@ -197,29 +197,33 @@ def _repeats(slim: DataFrame, size: int, filter_: np.ndarray, width: int, groups
         best[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[node]
         later = ids[doc] > np.repeat(best, times)
         doc, pos = doc[later], pos[later]
-        order = np.argsort(doc, kind="stable")
-        doc, pos = doc[order], pos[order]
-        u, first = np.unique(doc, return_index=True)
-        return pd.DataFrame({"doc_id": ids[u], "rk": rks[u], "at": [x.tobytes() for x in np.split(pos, first[1:])] if len(u) else []})
+        to = (_mixed(ids[doc].view(np.uint64) ^ rks[doc].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, doc, pos = to[order], doc[order], pos[order]
+        cut = np.searchsorted(to, np.arange(groups + 1))
+        some = np.flatnonzero(np.diff(cut))
+        blobs = [(g, ids[doc[cut[g] : cut[g + 1]]].tobytes(), rks[doc[cut[g] : cut[g + 1]]].tobytes(), pos[cut[g] : cut[g + 1]].tobytes()) for g in some]
+        return pd.DataFrame(blobs, columns=["to", "ids", "rks", "at"])
 
     rows = slim.mapInPandas(emit, "g int, keys binary, times binary, ids binary, rks binary, doc binary, pos binary")
-    return rows.groupBy("g").applyInPandas(reduce, "doc_id long, rk long, at binary")
+    return rows.groupBy("g").applyInPandas(reduce, "to int, ids binary, rks binary, at binary")
 
 
 def _runs(found: DataFrame, size: int) -> DataFrame:
     """(run_id, run_rk, runs): for each document the covered words as packed pairs (first, end)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for parts in b["parts"]:
-                at = np.unique(np.frombuffer(b"".join(parts), "<u4")).astype(np.int64)
-                cut = np.flatnonzero(at[1:] > at[:-1] + size) + 1
-                out.append(np.stack([at[np.append(0, cut)], at[np.append(cut, len(at)) - 1] + size], 1).astype("<u4").tobytes())
-            yield pd.DataFrame({"run_id": b["doc_id"], "run_rk": b["rk"], "runs": out})
-
-    by = found.groupBy("doc_id", "rk").agg(F.collect_list("at").alias("parts"))  # the windows of one document
-    return by.mapInPandas(run, "run_id long, run_rk long, runs binary")
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        ids, rks, at = (np.frombuffer(b"".join(part[c]), k) for c, k in (("ids", "<i8"), ("rks", "<i8"), ("at", "<u4")))
+        order = np.lexsort((at, rks, ids))
+        ids, rks, at = ids[order], rks[order], at[order].astype(np.int64)
+        first = np.concatenate(([True], (ids[1:] != ids[:-1]) | (rks[1:] != rks[:-1])))
+        head = first | np.concatenate(([True], at[1:] > at[:-1] + size))
+        tail = np.append(head[1:], True)
+        pairs = np.stack([at[head], at[tail] + size], 1).astype("<u4")
+        docs = np.flatnonzero(first[head])
+        return pd.DataFrame({"run_id": ids[first], "run_rk": rks[first], "runs": [x.tobytes() for x in np.split(pairs, docs[1:])]})
+
+    return found.groupBy("to").applyInPandas(merge, "run_id long, run_rk long, runs binary")
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, filter_bits: int = FILTER_BITS) -> DataFrame:
