@@ -25,8 +25,8 @@ from .common import crc_mod, stash, table
 
 DEPTH, CONTEXT_SHARE = 5, 1 << 14
 #: Words whose counts are broadcast, and their greatest length in bytes; all other words are joined by shuffling.
-FREQUENT, WORD_BYTES = 1 << 18, 64
-_CHUNK, _LANE, _MERGE = 4 << 20, 256, 3_000_000
+FREQUENT, WORD_BYTES = 1 << 17, 64
+_CHUNK, _LANE, _MERGE, _ROWS, _WORDS = 2 << 20, 256, 1_000_000, 1000, 300_000
 
 
 # -- bytes ------------------------------------------------------------------------------------------------------------
@@ -239,7 +239,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         for b in batches:
             for x in b["text"]:
                 seen.update(x.split())
-                if len(seen) > 600_000:
+                if len(seen) > _WORDS:
                     yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
                     seen = Counter()
         if seen:
@@ -292,7 +292,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (bits, step), (names, logs) = shared.value
         at = {w: i for i, w in enumerate(names.split(b" "))} if names else {}
-        for b in batches:
+        for b in (whole.iloc[i : i + _ROWS] for whole in batches for i in range(0, len(whole), _ROWS)):
             low = [x.lower() for x in b["text"]]
             lengths = np.concatenate([code_lengths(part, bits, step, depth) for part in _chunks(iter(low))] or [np.zeros(0)])
             rows, rare = [], []
