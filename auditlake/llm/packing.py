@@ -8,6 +8,10 @@ to end, and cut every LENGTH tokens, so neighbours on the curve share sequences
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +28,7 @@ TOKENIZER, LENGTH, END_ID = "byte_bpe_50k.json", 1024, 0
 #: Dimensions and bits of each on the curve; bits of the id's hash behind them. All bits fit a double exactly.
 DIMS, BITS, TIE_BITS, SEED = 4, 8, 20, 4
 #: Tokens that one task lays out. Words whose ids are remembered.
-TASK_TOKENS, CACHE = 4_000_000, 300_000
-_LONGEST = 32
+TASK_TOKENS, CACHE = 4_000_000, 400_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -55,48 +58,46 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+#: White space beside a space or a line feed, or at either end: the pieces of such a text depend on each other.
+_UNEVEN = re.compile(r"[ \n]\s|\s[ \n]|\A\s|\s\Z")
+
+
 class Encoder:
-    """Texts to ids. Byte-level BPE splits before a space between two other characters, whatever stands around; so words are encoded once and remembered."""
+    """Texts to ids. Byte-level BPE splits around a single space or line feed between two other characters, whatever these are; so words are encoded once and remembered."""
 
     def __init__(self, path: str, wide: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u4" if wide else "<u2"
-        self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {"": b""}
+        self.later: dict[str, bytes] = {}
+        self.feed = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str]:
-        """Parts whose ids, joined, are the text's ids: each but the first begins with its space."""
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out, held = [], parts[0]
-        for p in parts[1:]:
-            if p and held and not p[0].isspace() and not held[-1].isspace():
-                out.append(held)
-                held = " " + p
-            else:  # white space runs on: no boundary here
-                held += " " + p
-        out.append(held)
-        return out
+    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
+        new = list(words - known.keys())
+        if new:
+            known.update(zip(new, self._ids([before + w for w in new]), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(x) if x else [] for x in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({p for ps in split for p in ps if p not in known})
-        if new:
-            known.update(zip(new, self._ids(new), strict=True))
-        out = [b"".join(map(known.__getitem__, ps)) for ps in split]
-        for p in new:
-            if len(p) > _LONGEST:
-                del known[p]
-        return out
+        if len(self.first) + len(self.later) > CACHE:
+            self.first, self.later = {"": b""}, {}
+        even = [not _UNEVEN.search(x) for x in texts]
+        lines = [[line.split(" ") for line in x.split("\n")] if e else [] for x, e in zip(texts, even, strict=True)]
+        self._learn(self.first, {line[0] for text in lines for line in text}, "")
+        words: set[str] = set()
+        for text in lines:
+            for line in text:
+                words.update(line[1:])
+        self._learn(self.later, words, " ")
+        first, later = self.first, self.later
+        other = iter(self._ids([x for x, e in zip(texts, even, strict=True) if not e]))
+        return [self.feed.join([first[line[0]] + b"".join(map(later.__getitem__, line[1:])) for line in text]) if e else next(other) for text, e in zip(lines, even, strict=True)]
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +109,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer, wide)
+        held = sys.modules.setdefault("_auditlake_worker", types.ModuleType("_auditlake_worker")).__dict__  # a worker's tasks share what it has learnt
+        encoder = held.get((tokenizer, wide)) or held.setdefault((tokenizer, wide), Encoder(tokenizer, wide))
         direction = np.random.default_rng(SEED).standard_normal((max(size, end_id + 1), DIMS)).astype(np.float32)
         end = np.array([end_id], kind).tobytes()
         for b in batches:
