@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import audit
+
+QUERIES = dict(audit.QUERIES)
+ORACLES = dict(audit.ORACLES)
