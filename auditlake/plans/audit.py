@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import inside, intersection, iou, iou_sql
-from ..operators import similarity
+from ..operators import matching, similarity
 from ..sources.tables import BOX_SQL, predicted_boxes, table, truth_boxes
 
 #: Same-scene cosine for these vectors, neighbours of each, and the split by id.
@@ -199,6 +199,14 @@ def sample_weights(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(1 / n, 9).alias("weight"))
 
 
+def greedy_match(spark, sf_dir):
+    return matching.greedy_match(truth_boxes(spark, sf_dir), predicted_boxes(spark, sf_dir))
+
+
+def suppression(spark, sf_dir):
+    return matching.suppress(predicted_boxes(spark, sf_dir))
+
+
 _I, _P = iou_sql("g", "p"), iou_sql("p", "q")
 _INT = "(greatest(least(g.x2, p.x2) - greatest(g.x1, p.x1), 0.0) * greatest(least(g.y2, p.y2) - greatest(g.y1, p.y1), 0.0))"
 _MATCH = f"""{BOX_SQL}, j as (select g.gt, p.pred, {_I} iou from gt g join pr p on g.img = p.img and g.cls = p.cls where {_I} >= 0.5),
@@ -235,5 +243,5 @@ pt as (select gd.cls, gd.x, coalesce(max(env), 0.0) env from gd left join ev on
     "i3_day_counters": (day_counters, "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) n from events group by 1, 2"),
     "r12_sample_weights": (sample_weights, "select doc_id, round(1 / count(*) over (partition by lang), 9) weight from documents"),
 }
-QUERIES = {k: f for k, (f, _) in _TABLE.items()}
+QUERIES = {k: f for k, (f, _) in _TABLE.items()} | {"j7_greedy_match": greedy_match, "j19_suppression": suppression}  # sequential: no SQL
 ORACLES = {k: s for k, (_, s) in _TABLE.items()}
