@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audit
+from .plans import audit, evaluation
 
-QUERIES = dict(audit.QUERIES)
-ORACLES = dict(audit.ORACLES)
+QUERIES = audit.QUERIES | evaluation.QUERIES
+ORACLES = audit.ORACLES | evaluation.ORACLES
