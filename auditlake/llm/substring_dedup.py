@@ -28,7 +28,7 @@ from .common import stash, table
 
 WINDOW = 13
 #: The filter's bits (32 MB); bytes of text that a batch gathers; windows and suffixes that a group is to hold.
-FILTER_BITS, BATCH_BYTES, GROUP_WINDOWS, GROUP_SUFFIXES, MOST_GROUPS = 1 << 28, 2 << 20, 1 << 16, 1 << 19, 4096
+FILTER_BITS, BATCH_BYTES, GROUP_WINDOWS, GROUP_SUFFIXES, MOST_GROUPS = 1 << 28, 2 << 20, 1 << 19, 1 << 19, 4096
 #: Words that can't end a prefix are the most frequent of about SAMPLE_DOCS documents. They balance tasks and change no result.
 FREQUENT, SAMPLE_DOCS = 256, 2000
 #: Runs of all documents together under this size are broadcast; else documents and runs are joined by shuffling.
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     """
     slim = _slim(docs, id_col, text_col)
     total = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5 + 1  # windows, about
-    groups = 1 << max(0, min(MOST_GROUPS, total // GROUP_WINDOWS)).bit_length()
+    groups = max(16, 1 << min(MOST_GROUPS, total // GROUP_WINDOWS).bit_length())  # a group also holds its share of the filter, a byte a bit
     width = min(5, -(-((total // groups).bit_length() + 7) // 8))
     seen = slim.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.greatest(F.lit(1), F.lit(docs.count() // SAMPLE_DOCS))) == 0)
     counts: Counter = Counter()
