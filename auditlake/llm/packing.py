@@ -9,11 +9,11 @@ to end, and cut every LENGTH tokens, so neighbours on the curve share sequences
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,8 +27,8 @@ from .common import stash, table
 TOKENIZER, LENGTH, END_ID = "byte_bpe_50k.json", 1024, 0
 #: Dimensions and bits of each on the curve; bits of the id's hash behind them. All bits fit a double exactly.
 DIMS, BITS, TIE_BITS, SEED = 4, 8, 20, 4
-#: Tokens that one task lays out. Words whose ids are remembered.
-TASK_TOKENS, CACHE = 4_000_000, 400_000
+#: Tokens that one task lays out. Words whose ids are remembered, and how many are encoded at once.
+TASK_TOKENS, CACHE, LEARN = 4_000_000, 600_000, 2000
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -58,12 +58,12 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-#: White space beside a space or a line feed, or at either end: the pieces of such a text depend on each other.
-_UNEVEN = re.compile(r"[ \n]\s|\s[ \n]|\A\s|\s\Z")
-
-
 class Encoder:
-    """Texts to ids. Byte-level BPE splits around a single space or line feed between two other characters, whatever these are; so words are encoded once and remembered."""
+    """Texts to ids. Byte-level BPE splits around a single space or line feed between two other characters, whatever these are; so words are encoded once and remembered.
+
+    Texts with white space beside a space or line feed, or at either end, have an empty word or one that white space
+    begins or ends. Such words are never remembered, and their texts are encoded whole.
+    """
 
     def __init__(self, path: str, wide: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -71,8 +71,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = "<u4" if wide else "<u2"
-        self.first: dict[str, bytes] = {"": b""}
+        self.kind = np.dtype("<u4" if wide else "<u2")
+        self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.feed = self._ids(["\n"])[0]
 
@@ -80,24 +80,35 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        new = list(words - known.keys())
-        if new:
-            known.update(zip(new, self._ids([before + w for w in new]), strict=True))
+        """Words' ids, many to a line-fed text: no token but the line feed's own has its byte, so it parts them."""
+        new = [w for w in words if w not in known and w and not (w[0].isspace() or w[-1].isspace())]
+        for i in range(0, len(new), LEARN):
+            part = new[i : i + LEARN]
+            raw = self._ids(["\n".join([before + w for w in part])])[0]
+            at = (np.flatnonzero(np.frombuffer(raw, self.kind) == np.frombuffer(self.feed, self.kind)) * self.kind.itemsize).tolist()
+            width = self.kind.itemsize
+            known.update(zip(part, [raw[a:b] for a, b in zip([0, *[x + width for x in at]], [*at, len(raw)], strict=True)], strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHE:
-            self.first, self.later = {"": b""}, {}
-        even = [not _UNEVEN.search(x) for x in texts]
-        lines = [[line.split(" ") for line in x.split("\n")] if e else [] for x, e in zip(texts, even, strict=True)]
+        for known in (self.first, self.later):
+            if len(known) > CACHE:  # the words met first are the most frequent ones, as a rule
+                for w in list(islice(known, CACHE // 2, None)):
+                    del known[w]
+        lines = [[line.split(" ") for line in x.split("\n")] for x in texts]
         self._learn(self.first, {line[0] for text in lines for line in text}, "")
         words: set[str] = set()
         for text in lines:
             for line in text:
                 words.update(line[1:])
         self._learn(self.later, words, " ")
-        first, later = self.first, self.later
-        other = iter(self._ids([x for x, e in zip(texts, even, strict=True) if not e]))
-        return [self.feed.join([first[line[0]] + b"".join(map(later.__getitem__, line[1:])) for line in text]) if e else next(other) for text, e in zip(lines, even, strict=True)]
+        first, later = self.first.__getitem__, self.later.__getitem__
+        out: list[bytes] = []
+        for text, whole in zip(lines, texts, strict=True):
+            try:
+                out.append(self.feed.join([first(line[0]) + b"".join(map(later, line[1:])) for line in text]))
+            except KeyError:
+                out += self._ids([whole])
+        return out
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
