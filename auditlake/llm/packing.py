@@ -75,19 +75,27 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.feed = self._ids(["\n"])[0]
+        self.marks = dict(zip(".,", self._ids([".", ","]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        """Words' ids, many to a line-fed text: no token but the line feed's own has its byte, so it parts them."""
+        """Words' ids, many to a line-fed text: no token but the line feed's own has its byte, so it parts them.
+
+        A full stop or comma behind a Latin letter at a word's end is always a piece of its own, so its word's ids precede it.
+        """
         new = [w for w in words if w not in known and w and not (w[0].isspace() or w[-1].isspace())]
+        marked = [w for w in new if w[-1] in self.marks and len(w) > 1 and w[-2].isalpha() and w[-2] < "\u0250"]
+        if marked:
+            new = [w for w in {*new, *(w[:-1] for w in marked)}.difference(marked) if w not in known]
         for i in range(0, len(new), LEARN):
             part = new[i : i + LEARN]
             raw = self._ids(["\n".join([before + w for w in part])])[0]
             at = (np.flatnonzero(np.frombuffer(raw, self.kind) == np.frombuffer(self.feed, self.kind)) * self.kind.itemsize).tolist()
             width = self.kind.itemsize
             known.update(zip(part, [raw[a:b] for a, b in zip([0, *[x + width for x in at]], [*at, len(raw)], strict=True)], strict=True))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         for known in (self.first, self.later):
