@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_join
 from .common import components, stash, table
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 2, 8
@@ -101,14 +102,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = shingle_join.SHINGLE, similarity: float = shingle_join.SIMILARITY) -> DataFrame:
     """The pipeline stage: of each group of near duplicates the document with the smallest id stays, columns unchanged.
 
-    Shingles have five words here. Documents without words have no shingles to compare and all stay.
+    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such fingerprints lie
+    up to 14 of 64 bits apart, where equal segments single out next to nothing, so the sets themselves are joined.
+    Documents without words have no shingles to compare and all stay, and so do those without an id.
     """
-    groups = near_groups(docs, shingle=shingle, distance=distance)
-    gone = groups.where("doc_id != component_id and fp != 0").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    near = shingle_join.near_copies(docs, shingle, similarity)
+    gone = near.where("doc_id != least").select(F.col("doc_id").alias("gone_id"), F.col("rk").alias("gone_rk")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_rk")), "left_anti")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
