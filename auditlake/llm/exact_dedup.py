@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stash, table
+from .common import ascii_lower, stash, table, unused
 
 #: A text is hot at HOT_LEAST rows and one HOT_SHARE-th of all rows; so at most HOT_SHARE texts can be hot.
 HOT_LEAST, HOT_SHARE, SALTS = 2000, 400, 64
@@ -50,9 +50,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The pipeline stage: documents without the copies, columns unchanged. Of equal texts the row with the largest doc_id stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The pipeline stage: documents without the copies, columns unchanged. Of equal texts one row with the largest doc_id stays.
+
+    A row is known by its id and its normalised text, so other texts under a repeated id stay; of rows that agree in both
+    one stays, the first by a hash of all columns. Null texts equal the empty one. Null ids sort lowest. Columns may have any
+    name; an empty table gives an empty result.
+    """
+    own, digest, kept, sha, nth = (unused(docs, x) for x in ("own_id", "own_sha", "kept_id", "kept_sha", "nth"))
+    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias(kept), F.col("text_sha256").alias(sha)).distinct()
+    rows = docs.withColumns({own: F.col("doc_id"), digest: F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)})
+    rows = rows.join(groups, F.col(own).eqNullSafe(F.col(kept)) & (F.col(digest) == F.col(sha)), "left_semi")
+    first = Window.partitionBy(own, digest).orderBy(F.xxhash64(*[F.to_json(F.struct(c)) for c in docs.columns]))
+    return rows.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(own, digest, nth)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -14,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_join
-from .common import components, stash, table
+from .common import components, stash, table, unused
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 2, 8
 #: Fingerprints under one key beyond which neighbourhoods take the place of pairs.
@@ -46,13 +46,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): one row per input row, fp as a signed long. Null texts count as having no word."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x, shingle, seed) for x in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            fp = np.array([fingerprint(x, shingle, seed) for x in b.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInPandas(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, "doc_id long, fp long")
 
 
 def _rotated(fp: Column, bits: int) -> Column:
@@ -91,7 +91,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, fp, component_id), one row per input row; component_id is the smallest doc_id reachable over links.
 
     Documents without words share the fingerprint zero and are linked like others. Null ids have the smallest other id
-    of their group, or null. Rows repeated under one id stay rows. Other columns are ignored; empty gives empty.
+    of their group, or null. Rows repeated under one id stay rows. Texts of any length are read whole; ties of a bit's
+    majority give zero. Other columns are ignored, whatever their names; empty gives empty.
     """
     prints = stash(fingerprints(docs, id_col, text_col, shingle, seed))
     distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -107,11 +108,14 @@ def keep_one(docs: DataFrame, shingle: int = shingle_join.SHINGLE, similarity: f
 
     Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such fingerprints lie
     up to 14 of 64 bits apart, where equal segments single out next to nothing, so the sets themselves are joined.
-    Documents without words have no shingles to compare and all stay, and so do those without an id.
+    Documents without words have no shingles to compare and all stay, and so do those without an id. A row is known by its id
+    and its text: unrelated texts under one id stay, and so do repeated rows of a text that stays. Texts of any length are read
+    whole; columns may have any name; an empty table gives an empty result.
     """
     near = shingle_join.near_copies(docs, shingle, similarity)
-    gone = near.where("doc_id != least").select(F.col("doc_id").alias("gone_id"), F.col("rk").alias("gone_rk")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_rk")), "left_anti")
+    gone, rk = unused(docs, "gone_id"), unused(docs, "gone_rk")
+    copies = near.where("doc_id != least").select(F.col("doc_id").alias(gone), F.col("rk").alias(rk)).distinct()
+    return docs.join(copies, (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(rk)), "left_anti")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

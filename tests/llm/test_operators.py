@@ -145,6 +145,39 @@ def test_langid(docs, empty, spark):
     assert langid.identify(empty, langid.fit(empty)).count() == 0
 
 
+def test_langid_letters_and_rare_languages(spark):
+    assert langid.words_of("² ½ ① Ⅷ 3 _") == [] and langid.words_of("Ab½c dÉf一") == ["ab", "c", "déf一"]
+    rows = [(i, "the cat and the dog " * 3, "en") for i in range(400)] + [(1000 + i, "kissa ja koira", "fi") for i in range(4)]
+    got = langid.identify(spark.createDataFrame([(1, "koira"), (2**53 + 1, "dog"), (None, "кот и собака")], "doc_id long, text string"), langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lang_docs=20))
+    got = {r.doc_id: (r.lang_pred, r.evidence) for r in got.collect()}
+    assert got[1] == ("fi", 1.0) and got[2**53 + 1] == ("en", 1.0) and got[None][1] == 0
+
+
+def test_langid_is_word_first_backoff(spark):
+    rows = [(1, "aab aab abc", "x"), (2, "bca cab abc", "y")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["aab zz", "abca", "bca q aab aab", "", None, "cabbca!"]
+
+    def brute(text):
+        count = {n: {l: Counter(g for i, t, k in rows if k == l for w in t.split() for g in ([w] if n == 0 else langid.grams_of(w, n))) for l in "xy"} for n in range(5)}
+        log = lambda n, g, l: math.log10((count[n][l][g] + 0.5) / (sum(count[n][l].values()) + 0.5 * (len(set(count[n]["x"]) | set(count[n]["y"])) + 1)))
+        total = {l: math.log10(0.5) for l in "xy"}
+        for w in langid.words_of(text):
+            for n in (0, 4, 3, 2, 1):
+                known = [g for g in ([w] if n == 0 else langid.grams_of(w, n)) if any(count[n][l][g] for l in "xy")]
+                if known:
+                    for l in "xy":
+                        total[l] += sum(log(n, g, l) for g in known) / len(known)
+                    break
+        if not langid.words_of(text):
+            return "und", 0.0
+        best = max("xy", key=lambda l: (total[l], l == "x"))
+        return best, round(10 ** total[best] / sum(10 ** v for v in total.values()), 9)
+
+    got = model.predict(texts)
+    assert [(a, round(float(b), 9)) for a, b in zip(*got[:2], strict=True)] == [brute(x) for x in texts]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     v = [(i, x.tolist()) for i, x in enumerate(np.repeat(rng.standard_normal((40, 8)), 5, axis=0) + 0.25 * rng.standard_normal((200, 8)))]
@@ -246,12 +279,66 @@ def test_ctw(docs, empty, spark):
     assert ctw.score(empty, F.lit(True)).count() == 0
 
 
-def test_ctw_is_a_distribution(spark):
-    text = spark.createDataFrame([(bytearray(b"abracadabra"),), (bytearray("äbc".encode()),), (bytearray(b"banana bandana"),)], "text binary")
-    for share in (1 << 14, 5):
-        bits, step = ctw.fit(ctw.count_bytes(text, 3), 3, share)
-        assert np.allclose((2.0 ** -bits.astype(float)).sum(1), 1, atol=1e-4) and step.max() < len(bits)
-    assert ctw.code_lengths([b"abra", b"zq!~"], bits, step, 3)[0] < ctw.code_lengths([b"abra", b"zq!~"], bits, step, 3)[1]
+CLASH = "doc_id long, text string, lang string, source string, gone_id long, kept_id long, drawn_id long, own_id string, topic string, probability string, nth long"
+
+
+@pytest.fixture(scope="module")
+def stage_docs(spark):
+    big = 2**53 + 1
+    rows = [(big, "the cat sat on the mat", "en", "a"), (None, "the dog ran home", "en", "a"), (None, None, None, None), (9, "dup text here", "en", "b"), (5, "Dup text here", "en", "b"),
+            (5, "own text of five", "en", "b"), (2, "der Hund und die Katze", "de", "c"), (2, "der Hund und die Katze", "de", "c"), (3, "", "en", "a"), (4, "12 34", None, "a"), (6, LONG, "en", "c"), (8, LONG + " tail", "en", "c"), (8, "unrelated words of eight", "en", "c")]
+    return spark.createDataFrame([(*r, big, None, 1, "x", "x", "x", i) for i, r in enumerate(rows)], CLASH).repartition(3)
+
+
+def kept(df, docs):
+    assert df.columns == docs.columns and [f.dataType for f in df.schema] == [f.dataType for f in docs.schema]
+    got = df.collect()
+    assert all(r.gone_id == 2**53 + 1 and r.kept_id is None for r in got)
+    return sorted(r.nth for r in got)
+
+
+def test_stage_language(stage_docs):
+    assert kept(langid.keep_identified(stage_docs), stage_docs) == [0, 1, 3, 4, 5, 6, 7, 10, 11, 12]
+    assert langid.keep_identified(stage_docs.where("false")).count() == 0
+
+
+def test_stage_exact(stage_docs):
+    got = kept(exact_dedup.keep_one(stage_docs), stage_docs)
+    assert got in ([0, 1, 3, 5, x, 8, 9, 10, 11, 12] for x in (6, 7))
+    assert exact_dedup.keep_one(stage_docs.where("false")).count() == 0
+
+
+def test_stage_near(stage_docs):
+    assert kept(simhash.keep_one(stage_docs), stage_docs) == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 12]
+    assert simhash.keep_one(stage_docs.where("false")).count() == 0
+
+
+def test_stage_mixing(stage_docs):
+    mixed = {(r.doc_id, r.source, r.lang, r.topic): r.sampled for r in mixing.mix(stage_docs).collect()}
+    topic = {r.doc_id: r.topic for r in mixing.measure(stage_docs).collect()}
+    got = kept(mixing.keep_sampled(stage_docs), stage_docs)
+    rows = {r.nth: r for r in stage_docs.collect()}
+    assert sum(mixed.values()) > 0 and topic
+    draws = {r.nth for r in rows.values() if any(s and k[0] == r.doc_id and k[1] == (r.source or "?") and k[2] == (r.lang or "?") for k, s in mixed.items())}
+    assert set(got) <= draws and {n for n in draws if rows[n].doc_id not in (5, 8, None)} <= set(got)
+    assert mixing.keep_sampled(stage_docs.where("false")).count() == 0
+
+
+def test_pipeline(spark, stage_docs, tmp_path):
+    import corpus_pipeline
+
+    stage_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stash(stage(spark, docs, str(tmp_path)))
+        seen.append(docs.count())
+    assert seen[0] == 10 and seen[1] == 8 and seen[2] == 7 and docs.columns == stage_docs.columns
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = Counter(r.doc_id for r in docs.collect())
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == want
+    stage_docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_exact_sql():
