@@ -9,15 +9,17 @@ to end, and cut every LENGTH tokens, so neighbours on the curve share sequences
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,13 @@ from .common import stash, table
 TOKENIZER, LENGTH, END_ID = "byte_bpe_50k.json", 1024, 0
 #: Dimensions and bits of each on the curve; bits of the id's hash behind them. All bits fit a double exactly.
 DIMS, BITS, TIE_BITS, SEED = 4, 8, 20, 4
-#: Tokens that one task lays out. Words whose ids are remembered, and how many are encoded at once.
-TASK_TOKENS, CACHE, LEARN = 4_000_000, 600_000, 2000
+#: Tokens that one task lays out; tasks at most, which then grow and spill; keys sampled for each task's bounds. Words remembered.
+TASK_TOKENS, MOST_PARTS, PART_SAMPLE, CACHE = 4_000_000, 1 << 14, 64, 600_000
+_REMEMBERED = 64
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+#: Byte-level BPE writes a byte as the character of its number if that is printable, else as the next one from 256 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: chr(b if b in _PRINTED else 256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)}
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -58,141 +65,161 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-class Encoder:
-    """Texts to ids. Byte-level BPE splits around a single space or line feed between two other characters, whatever these are; so words are encoded once and remembered.
+class Words(dict):
+    """Ids of words behind a fixed beginning, packed; a word is encoded when it is first asked for.
 
-    Texts with white space beside a space or line feed, or at either end, have an empty word or one that white space
-    begins or ends. Such words are never remembered, and their texts are encoded whole.
+    The tokenizer splits texts into runs of letters and runs of marks before it merges bytes, so a word of Latin letters and
+    marks behind them goes to its merges directly, without the splitting. Other words are encoded as texts. Words that are
+    empty or that white space begins or ends have no ids of their own: KeyError.
     """
 
+    def __init__(self, tokenizer, before: str, code: str):
+        super().__init__()
+        self.tokenizer, self.before, self.code, self.marks = tokenizer, before, code, {}
+        self.merges = tokenizer.model.tokenize
+        self.start = "".join(_BYTES[x] for x in before.encode())
+
+    def _merged(self, text: str) -> bytes:
+        return array(self.code, [x.id for x in self.merges(text)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if plain:
+            letters, marks = plain.groups()
+            if marks:
+                if marks not in self.marks:
+                    self.marks[marks] = self._merged(marks)
+                ids = self[letters] + self.marks[marks]
+            else:
+                ids = self._merged(self.start + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)))
+        elif not word or word[0].isspace() or word[-1].isspace():
+            raise KeyError(word)
+        else:
+            ids = array(self.code, self.tokenizer.encode(self.before + word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= _REMEMBERED:
+            self[word] = ids
+        return ids
+
+
+class Encoder:
+    """Texts to ids. Byte-level BPE splits around a single space or line feed between two other characters, whatever these are;
+    so words are encoded once and remembered. Texts with white space beside a space or line feed, or at either end, are encoded whole.
+    Special tokens' strings in a text are ordinary text, as the tokenizers' own notes set it."""
+
     def __init__(self, path: str, wide: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u4" if wide else "<u2")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.feed = self._ids(["\n"])[0]
-        self.marks = dict(zip(".,", self._ids([".", ","]), strict=True))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        """Words' ids, many to a line-fed text: no token but the line feed's own has its byte, so it parts them.
-
-        A full stop or comma behind a Latin letter at a word's end is always a piece of its own, so its word's ids precede it.
-        """
-        new = [w for w in words if w not in known and w and not (w[0].isspace() or w[-1].isspace())]
-        marked = [w for w in new if w[-1] in self.marks and len(w) > 1 and w[-2].isalpha() and w[-2] < "\u0250"]
-        if marked:
-            new = [w for w in {*new, *(w[:-1] for w in marked)}.difference(marked) if w not in known]
-        for i in range(0, len(new), LEARN):
-            part = new[i : i + LEARN]
-            raw = self._ids(["\n".join([before + w for w in part])])[0]
-            at = (np.flatnonzero(np.frombuffer(raw, self.kind) == np.frombuffer(self.feed, self.kind)) * self.kind.itemsize).tolist()
-            width = self.kind.itemsize
-            known.update(zip(part, [raw[a:b] for a, b in zip([0, *[x + width for x in at]], [*at, len(raw)], strict=True)], strict=True))
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        self.code = "I" if wide else "H"
+        self.feed = self._ids("\n")
+        self.known = (Words(self.tokenizer, "", self.code), Words(self.tokenizer, " ", self.code))
+
+    def _ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        for known in (self.first, self.later):
-            if len(known) > CACHE:  # the words met first are the most frequent ones, as a rule
-                for w in list(islice(known, CACHE // 2, None)):
-                    del known[w]
-        lines = [[line.split(" ") for line in x.split("\n")] for x in texts]
-        self._learn(self.first, {line[0] for text in lines for line in text}, "")
-        words: set[str] = set()
-        for text in lines:
-            for line in text:
-                words.update(line[1:])
-        self._learn(self.later, words, " ")
-        first, later = self.first.__getitem__, self.later.__getitem__
+        for known in self.known:
+            for seen in (known, known.marks):
+                if len(seen) > CACHE:  # the words met first are the most frequent ones, as a rule
+                    for w in list(islice(seen, CACHE // 2, None)):
+                        del seen[w]
+        first, later = (known.__getitem__ for known in self.known)
         out: list[bytes] = []
-        for text, whole in zip(lines, texts, strict=True):
+        for text in texts:
             try:
-                out.append(self.feed.join([first(line[0]) + b"".join(map(later, line[1:])) for line in text]))
+                out.append(self.feed.join([b"".join([first(line[0]), *map(later, line[1:])]) for line in (x.split(" ") for x in text.split("\n"))]))
             except KeyError:
-                out += self._ids([whole])
+                out.append(self._ids(text))
         return out
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, doc_tokens, ids): key is the place on the curve and the id's hash, as a double; ids are packed little-endian, with the end."""
-    from tokenizers import Tokenizer
-
-    size = Tokenizer.from_file(tokenizer).get_vocab_size()
-    wide = max(size, end_id + 1) > 1 << 16
-    kind = np.dtype("<u4" if wide else "<u2")
+    size, kind = _vocabulary(tokenizer, end_id)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = np.dtype(kind).itemsize == 4
         held = sys.modules.setdefault("_auditlake_worker", types.ModuleType("_auditlake_worker")).__dict__  # a worker's tasks share what it has learnt
         encoder = held.get((tokenizer, wide)) or held.setdefault((tokenizer, wide), Encoder(tokenizer, wide))
-        direction = np.random.default_rng(SEED).standard_normal((max(size, end_id + 1), DIMS)).astype(np.float32)
+        direction = np.random.default_rng(SEED).standard_normal((DIMS, size))
         end = np.array([end_id], kind).tobytes()
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                ids = [x + end for x in encoder.batch(list(part["text"]))]
-                n = np.array([len(x) // kind.itemsize for x in ids])
-                vectors = np.array([direction[np.frombuffer(x, kind)].sum(0, dtype=np.float64) for x in ids]).reshape(-1, DIMS)
-                vectors /= np.sqrt(n)[:, None]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500)
+                ids = [x + end for x in encoder.batch(part.column("text").to_pylist())]
+                n = np.array([len(x) for x in ids]) // np.dtype(kind).itemsize
+                flat, start = np.frombuffer(b"".join(ids), kind), np.cumsum(n) - n
+                vectors = np.stack([np.add.reduceat(d[flat], start) for d in direction], 1) / np.sqrt(n)[:, None]
                 cells = ((0.5 + np.arctan(vectors) / np.pi) * (1 << BITS)).clip(0, (1 << BITS) - 1).astype(np.int64)
-                key = (hilbert_key(cells) << TIE_BITS) | part["tie"].to_numpy(np.int64)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "key": key.astype(float), "doc_tokens": n, "ids": ids})
+                key = (hilbert_key(cells) << TIE_BITS) | part.column("tie").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key.astype(float)), pa.array(n.astype(np.int64)), pa.array(ids, pa.binary())], ["doc_id", "key", "doc_tokens", "ids"])
 
     tie = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << TIE_BITS)).alias("tie")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), tie)
-    return slim.mapInPandas(run, "doc_id long, key double, doc_tokens long, ids binary")
+    return slim.mapInArrow(run, "doc_id long, key double, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def dealt(coded: DataFrame, task_tokens: int = TASK_TOKENS) -> tuple[DataFrame, list[int]]:
+    """Adds bucket, of ranges of the key with about as many tokens each, and the tokens of every bucket.
+
+    The bounds come from a sample of keys weighted by their tokens; they balance tasks and change no result.
+    """
+    rows, total = coded.agg(F.count("*"), F.sum("doc_tokens")).first()
+    parts = min(MOST_PARTS, max(1, -(-(total or 0) // task_tokens)))
+    cuts: list[float] = []
+    if parts > 1:
+        got = coded.select("key", "doc_tokens").sample(min(1.0, PART_SAMPLE * parts / rows), SEED).toPandas().sort_values("key")  # PART_SAMPLE * MOST_PARTS rows, about
+        seen = got["doc_tokens"].to_numpy().cumsum()
+        cuts = sorted(set(got["key"].to_numpy()[np.searchsorted(seen, [seen[-1] * i / parts for i in range(1, parts)])].tolist())) if len(seen) else []
+    out = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="key", outputCol="bucket").transform(coded) if cuts else coded.withColumn("bucket", F.lit(0.0))
+    out = out.withColumn("bucket", F.col("bucket").cast("int"))
+    sums = {r[0]: r[1] for r in out.groupBy("bucket").agg(F.sum("doc_tokens")).collect()}  # MOST_PARTS rows at most
+    return out, [sums.get(b, 0) for b in range(len(cuts) + 1)]
+
+
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids (packed unsigned 32-bit).
 
-    Null and empty texts are the end id alone. Rows repeated under one id are packed each. Null ids are packed like
-    others. Sequences hold exactly length tokens but the last. Other columns are ignored; empty gives empty.
+    Null and empty texts are the end id alone. Rows repeated under one id are packed each; ties on the curve go by id, then by
+    their tokens. Null ids are packed like others. A text of any length is cut into as many pieces as it needs. Sequences hold
+    exactly length tokens but the last. Other columns are ignored, whatever their names; empty gives empty.
     """
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
-    coded = stash(encode(docs, tokenizer, end_id, id_col, text_col))
-    total = coded.agg(F.sum("doc_tokens")).first()[0] or 0
-    parts = max(1, -(-total // TASK_TOKENS))
-    cuts = sorted(set(coded.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    splits = [-float("inf"), *cuts, float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="key", outputCol="bucket").transform(coded) if cuts else coded.withColumn("bucket", F.lit(0.0))
-    dealt = dealt.withColumn("bucket", F.col("bucket").cast("int"))
-    sums = {r[0]: r[1] for r in dealt.groupBy("bucket").agg(F.sum("doc_tokens")).collect()}  # one number for each task
-    base, at = {}, 0
-    for b in sorted(sums):
-        base[b], at = at, at + sums[b]
-    kind = "<u4" if _wide(tokenizer, end_id) else "<u2"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = _vocabulary(tokenizer, end_id)[1]
+    placed, sums = dealt(stash(encode(docs, tokenizer, end_id, id_col, text_col)), task_tokens)
+    base = np.cumsum([0, *sums]).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, at = None, 0
         for b in batches:
-            out: list[tuple] = []
-            for own, doc, n, ids in zip(b["bucket"], b["doc_id"], b["doc_tokens"], b["ids"], strict=True):
+            row, rest, blobs = [], [], []
+            for i, (own, n, ids) in enumerate(zip(b.column("bucket").to_pylist(), b.column("doc_tokens").to_pylist(), b.column("ids"), strict=True)):
                 if own != bucket:
                     bucket, at = own, base[own]
-                full = np.frombuffer(ids, kind).astype("<u4")
+                full = np.frombuffer(ids.as_buffer(), kind).astype("<u4")
                 start = 0
                 while start < n:
                     take = min(n - start, length - at % length)
                     piece = full[start : start + take].tobytes()
-                    out.append((doc, start, take, zlib.crc32(piece), n, at // length, at % length, piece if with_ids else None))
+                    row.append(i), rest.append((start, take, zlib.crc32(piece), n, at // length, at % length)), blobs.append(piece if with_ids else None)
                     start, at = start + take, at + take
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            columns = np.array(rest, np.int64).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *map(pa.array, columns), pa.array(blobs, pa.binary())], names)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    out = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "doc_id").mapInPandas(run, schema)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    schema = ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in names)
+    out = placed.repartitionById(len(sums), "bucket").sortWithinPartitions("bucket", "key", "doc_id", "ids").mapInArrow(run, schema)
     return out if with_ids else out.drop("ids")
 
 
-def _wide(tokenizer: str, end_id: int) -> bool:
+def _vocabulary(tokenizer: str, end_id: int) -> tuple[int, str]:
+    """Its size with the end id, and the type that holds its ids."""
     from tokenizers import Tokenizer
 
-    return max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) > 1 << 16
+    size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
+    return size, "<u4" if size > 1 << 16 else "<u2"
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
