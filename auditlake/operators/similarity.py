@@ -7,18 +7,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components  # noqa: F401
+
 #: Vectors of one side in a task.
 BLOCK = 4096
 
 
-def similarity_join(queries: DataFrame, base: DataFrame, k: int | None = None, low: float = -2.0, high: float = 2.0, block: int = BLOCK) -> DataFrame:
+def similarity_join(queries: DataFrame, base: DataFrame, k: int | None = None, low: float = -2.0, high: float = 2.0, block: int = BLOCK, on: str | None = None) -> DataFrame:
     """(qid, bid, sim): cosines in [low, high) of each query with the base, its own id left out; with k the k largest, ties by id.
 
     queries: (qid, vec), base: (bid, vec). Each task holds one block of both sides; only its own best k travel on.
+    on: a column of both sides that must agree; blocks are then formed within its values, so no other pair is computed.
     """
     nq, nb = (max(1, -(-d.count() // block)) for d in (queries, base))
-    q = queries.select("qid", F.col("vec").alias("qvec"), F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    b = base.select("bid", F.col("vec").alias("bvec"), F.pmod(F.xxhash64("bid"), F.lit(nb)).cast("int").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    own = [on] if on else []
+    q = queries.select(*own, "qid", F.col("vec").alias("qvec"), F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    b = base.select(*own, "bid", F.col("vec").alias("bvec"), F.pmod(F.xxhash64("bid"), F.lit(nb)).cast("int").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def unit(col: pd.Series) -> np.ndarray:
         x = np.array(list(col), dtype=np.float64)
@@ -40,31 +44,8 @@ def similarity_join(queries: DataFrame, base: DataFrame, k: int | None = None, l
                 out.append(pd.DataFrame({"qid": own[i], "bid": ids[j], "sim": sim[i, j]}))
         return pd.concat(out)
 
-    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(lambda x, y: pair(x, y), "qid long, bid long, sim double")
+    found = q.groupBy(*own, "qb", "bb").cogroup(b.groupBy(*own, "qb", "bb")).applyInPandas(lambda x, y: pair(x, y), "qid long, bid long, sim double")
     if k is None:
         return found
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 12)), "bid")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): least node reachable over (a, b), by alternating stars, one checkpointed job a round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-    was = None
-    for _ in range(rounds):
-        both = e.unionAll(e.select(F.col("b"), F.col("a")).toDF("a", "b")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("m < v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = small.unionAll(low.select(F.col("m").alias("a"), "b")).distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == was or not now[0]:
-            break
-        was = now
-    return e.select(F.col("b").alias("node"), F.col("a").alias("root"))

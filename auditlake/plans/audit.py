@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import inside, intersection, iou, iou_sql
-from ..operators import matching, similarity
+from ..operators import similarity
+from ..operators.ranking import average_precision
 from ..sources.tables import BOX_SQL, predicted_boxes, table, truth_boxes
 
 #: Same-scene cosine for these vectors, neighbours of each, and the split by id.
 SCENE, NEIGHBOURS = 0.40, 10
+#: Words of a run that documents and items are met on; items that are broadcast.
+WORDS, FEW_ITEMS = 4, 100_000
 _SPLIT = "case when vec_id % 20 < 14 then 'train' when vec_id % 20 < 17 then 'val' else 'test' end"
 _COS = "with e as (select vec_id, embedding, label, {s} split from embeddings), p as (select a.vec_id qid, b.vec_id bid, a.split qs, b.split bs, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) sim from e a, e b where a.vec_id <> b.vec_id)".format(s=_SPLIT)
 _KNN = _COS + ", k as (select *, row_number() over (partition by qid order by round(sim, 12) desc, bid) rank from p)"
@@ -57,14 +60,16 @@ def proximity(spark, sf_dir):
     """Mean of the three largest cosines of a held-out vector with train vectors of its own label; null without any."""
     e = _vectors(spark, sf_dir)
     train, held = e.where("split = 'train'"), e.where("split <> 'train'")
-    sims = similarity.similarity_join(held.selectExpr("vec_id qid", "vec"), train.selectExpr("vec_id bid", "vec"))
-    same = sims.join(held.selectExpr("vec_id qid", "label ql"), "qid").join(train.selectExpr("vec_id bid", "label bl"), "bid").where("ql = bl")
-    top = same.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "bid"))).where("r <= 3")
+    top = similarity.similarity_join(held.selectExpr("vec_id qid", "vec", "label"), train.selectExpr("vec_id bid", "vec", "label"), k=3, on="label")
     return held.select("vec_id").join(top.groupBy(F.col("qid").alias("vec_id")).agg(F.round(F.avg("sim"), 6).alias("proximity")), "vec_id", "left")
 
 
 def split_report(spark, sf_dir):
-    return _vectors(spark, sf_dir).groupBy("split").pivot("label", list(range(10))).count().na.fill(0).select("split", *[F.col(str(i)).cast("long").alias(f"c{i}") for i in range(10)])
+    """Vectors of each label in each split, zeros too."""
+    e = _vectors(spark, sf_dir)
+    n = e.groupBy("split", "label").agg(F.count("*").alias("n"))
+    all_ = n.select("split").distinct().join(F.broadcast(n.select("label").distinct()))  # splits by labels
+    return all_.join(n, ["split", "label"], "left").na.fill(0, ["n"])
 
 
 def best_overlap(spark, sf_dir):
@@ -84,20 +89,6 @@ def unique_match(spark, sf_dir) -> DataFrame:
     return best.select("gt", "pred", F.round("iou", 6).alias("iou"))
 
 
-def average_precision(flags: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    """101-point AP per group. flags: by, pred, conf, tp; totals: by, n. The windows are per group; the grid is 101 rows."""
-    order = Window.partitionBy(*by).orderBy(F.desc("conf"), "pred")
-    run = flags.withColumn("tps", F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(order)).join(totals, by)
-    run = run.withColumn("rec", F.col("tps") / F.col("n")).withColumn("prec", F.col("tps") / F.col("k"))
-    run = run.withColumn("env", F.max("prec").over(Window.partitionBy(*by).orderBy("k").rowsBetween(0, Window.unboundedFollowing)))
-    # Of equal recall the first row has the largest envelope; a grid point takes the first row whose recall reaches it.
-    steps = run.groupBy(*by, "rec").agg(F.max("env").alias("env"))
-    last = F.coalesce(F.lag("rec").over(Window.partitionBy(*by).orderBy("rec")), F.lit(-1.0))
-    steps = steps.withColumn("last", last).withColumn("points", F.size(F.filter(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i * F.lit(0.01)), lambda x: (x > F.col("last")) & (x <= F.col("rec")))))
-    ap = steps.groupBy(*by).agg((F.sum(F.col("env") * F.col("points")) / 101).alias("ap"))
-    return totals.join(ap, by, "left").select(*by, "n", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-
-
 def class_ap(spark, sf_dir):
     gt, pr = truth_boxes(spark, sf_dir), predicted_boxes(spark, sf_dir)
     imgs = gt.select("img").distinct()
@@ -122,9 +113,10 @@ def error_anatomy(spark, sf_dir):
 
 
 def false_alarms(spark, sf_dir):
-    """Predictions under IoU 0.1 with every label and under half within the labels."""
-    gt, pr = truth_boxes(spark, sf_dir).alias("g"), predicted_boxes(spark, sf_dir).alias("p")
-    j = pr.join(gt, F.col("g.img") == F.col("p.img"), "left").groupBy("p.pred", "p.conf").agg(F.coalesce(F.max(iou("g", "p")), F.lit(0.0)).alias("best"), F.coalesce(F.sum(inside("p", "g")), F.lit(0.0)).alias("cover"))
+    """Predictions under IoU 0.1 with every class-0 label of their image and under half within these labels."""
+    gt, pr = truth_boxes(spark, sf_dir).where("cls = 0").alias("g"), predicted_boxes(spark, sf_dir).alias("p")
+    j = pr.join(gt, F.col("g.img") == F.col("p.img"), "left").groupBy("p.pred", "p.conf")
+    j = j.agg(F.coalesce(F.max(iou("g", "p")), F.lit(0.0)).alias("best"), F.coalesce(F.sum(inside("p", "g")), F.lit(0.0)).alias("cover"))
     return j.where("best < 0.1 and cover < 0.5").select("pred", F.round("conf", 6).alias("conf"))
 
 
@@ -154,7 +146,8 @@ def status_crosstab(spark, sf_dir):
     """Documents of each source by what the label table says, with a row for all."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     status = F.when(F.col("quality").isNull(), "none").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "kept").otherwise("low")
-    return d.withColumn("status", status).rollup("source").agg(*[F.sum((F.col("status") == s).cast("long")).alias(s) for s in ("kept", "low", "toxic", "none")]).select(F.coalesce("source", F.lit("all")).alias("source"), "kept", "low", "toxic", "none")
+    name = F.when(F.col("whole") == 1, "all").otherwise(F.coalesce("source", F.lit("(null)")))
+    return d.withColumn("status", status).rollup("source").agg(*[F.sum((F.col("status") == s).cast("long")).alias(s) for s in ("kept", "low", "toxic", "none")], F.grouping("source").alias("whole")).select(name.alias("source"), "kept", "low", "toxic", "none")
 
 
 def provenance_key(spark, sf_dir):
@@ -164,12 +157,22 @@ def provenance_key(spark, sf_dir):
 
 
 def contained_benchmark(spark, sf_dir):
-    """Benchmark items whose whole text a document contains. The benchmark is the small side: it is broadcast behind its size."""
-    b = table(spark, sf_dir, "benchmark")
-    items = b.select("item_id", F.col("text").alias("item"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = F.broadcast(items) if b.count() <= 10_000 else items
-    return d.join(items, F.contains(F.col("text"), F.col("item"))).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    """Benchmark items whose whole text a document contains: documents are met on one run of WORDS inner words of the item.
+
+    The run is the item's smallest by hash; only its hash is compared with the runs of the documents, where they are read, as long as
+    the items can be broadcast. Items with fewer inner words are short; they are looked up one by one.
+    """
+    words = lambda text: F.split(F.col(text), r"\s+").alias("w")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), words("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", words("text"))
+    run = lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, WORDS), " "))
+    runs = lambda inner: F.transform(F.sequence(F.lit(inner), F.size("w") - WORDS - inner), run)
+    keyed = b.where(F.size("w") >= WORDS + 2).select("item_id", "item", F.array_min(runs(1)).alias("run"))
+    few = b.count() <= FEW_ITEMS
+    own = d.where(F.size("w") >= WORDS).select("doc_id", "text", F.explode(F.array_distinct(runs(0))).alias("run"))
+    met = own.join(F.broadcast(keyed) if few else keyed, "run").where(F.contains("text", "item")).select("item_id", "doc_id")
+    short = d.join(F.broadcast(b.where(F.size("w") < WORDS + 2).select("item_id", "item")), F.contains("text", "item")).select("item_id", "doc_id")
+    return met.unionAll(short).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 def scene_counts(spark, sf_dir):
@@ -199,14 +202,6 @@ def sample_weights(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(1 / n, 9).alias("weight"))
 
 
-def greedy_match(spark, sf_dir):
-    return matching.greedy_match(truth_boxes(spark, sf_dir), predicted_boxes(spark, sf_dir))
-
-
-def suppression(spark, sf_dir):
-    return matching.suppress(predicted_boxes(spark, sf_dir))
-
-
 _I, _P = iou_sql("g", "p"), iou_sql("p", "q")
 _INT = "(greatest(least(g.x2, p.x2) - greatest(g.x1, p.x1), 0.0) * greatest(least(g.y2, p.y2) - greatest(g.y1, p.y1), 0.0))"
 _MATCH = f"""{BOX_SQL}, j as (select g.gt, p.pred, {_I} iou from gt g join pr p on g.img = p.img and g.cls = p.cls where {_I} >= 0.5),
@@ -222,7 +217,7 @@ _TABLE = {
     "j15_proximity": (proximity, _COS + ", s as (select p.*, row_number() over (partition by qid order by sim desc, bid) r from p join e x on x.vec_id = qid join e y on y.vec_id = bid where x.label = y.label and p.qs <> 'train' and p.bs = 'train') select e.vec_id, round(avg(sim), 6) proximity from e left join s on s.qid = e.vec_id and r <= 3 where e.split <> 'train' group by 1"),
     "g2_scene_groups": (scene_groups, _GROUPS + " select vec_id, group_id from gr"),
     "a13_scene_counts": (scene_counts, _GROUPS + " select label, count(distinct group_id) scenes, count(*) vectors from gr join e using (vec_id) group by label"),
-    "a24_split_report": (split_report, f"select {_SPLIT} split, " + ", ".join(f"sum(case when label = {i} then 1 else 0 end)::bigint c{i}" for i in range(10)) + " from embeddings group by 1"),
+    "a24_split_report": (split_report, f"with e as (select {_SPLIT} split, label from embeddings) select split, label, count(e2.l) n from (select distinct split from e) cross join (select distinct label from e) left join (select split s, label l from e) e2 on e2.s = split and e2.l = label group by 1, 2"),
     "j10_best_overlap": (best_overlap, f"with {BOX_SQL} select g.gt, round(coalesce(max(case when g.cls = p.cls then {_I} end), 0.0), 6) same, round(coalesce(max({_I}), 0.0), 6) \"any\" from gt g left join pr p on g.img = p.img group by 1"),
     "j8_unique_match": (unique_match, f"with {_MATCH} select gt, pred, round(iou, 6) iou from m where r2 = 1"),
     "a2_class_ap": (class_ap, f"""with {_MATCH}, fl as (select p.cls, p.pred, p.conf, case when m.gt is null then 0 else 1 end tp from pr p left join (select * from m where r2 = 1) m using (pred) where p.img in (select img from gt)),
@@ -231,11 +226,11 @@ ev as (select *, max(prec) over (partition by cls order by k rows between curren
 pt as (select gd.cls, gd.x, coalesce(max(env), 0.0) env from gd left join ev on ev.cls = gd.cls and ev.rec >= gd.x group by 1, 2) select n.cls, n.n, round(sum(env) / 101, 6) ap from n join pt using (cls) group by 1, 2"""),
     "j17_consensus": (consensus, f"with {BOX_SQL} select p.pred, round(any_value(p.conf) + 0.1::double * sum(case when p.pred <> q.pred and {_P} >= 0.5 then q.conf else 0.0 end), 6) score from pr p join pr q on p.img = q.img group by 1"),
     "a11_error_anatomy": (error_anatomy, f"with {BOX_SQL}, s as (select g.gt, g.cls, max(case when {_I} >= 0.5 and g.cls = p.cls then 2 when {_I} >= 0.5 then 1 else 0 end) s from gt g left join pr p on g.img = p.img group by 1, 2) select cls, count(*) n, sum((s = 2)::int)::bigint hit, sum((s = 1)::int)::bigint other_class, sum((s = 0)::int)::bigint no_box from s group by 1"),
-    "f5_false_alarms": (false_alarms, f"with {BOX_SQL}, s as (select p.pred, p.conf, coalesce(max({_I}), 0.0) best, coalesce(sum({_INT} / ((p.x2 - p.x1) * (p.y2 - p.y1) + 1e-9)), 0.0) cover from pr p left join gt g on g.img = p.img group by 1, 2) select pred, round(conf, 6) conf from s where best < 0.1 and cover < 0.5"),
+    "f5_false_alarms": (false_alarms, f"with {BOX_SQL}, s as (select p.pred, p.conf, coalesce(max({_I}), 0.0) best, coalesce(sum({_INT} / ((p.x2 - p.x1) * (p.y2 - p.y1) + 1e-9)), 0.0) cover from pr p left join gt g on g.img = p.img and g.cls = 0 group by 1, 2) select pred, round(conf, 6) conf from s where best < 0.1 and cover < 0.5"),
     "a17_box_stats": (box_stats, f"with {BOX_SQL} select cls, count(*) n, count(distinct img) images, round(avg(ln((x2 - x1) * (y2 - y1))), 6) log_area, round(avg(ln((x2 - x1) / (y2 - y1))), 6) log_aspect, round(median((x2 - x1) * (y2 - y1)), 6) median_area from gt group by 1"),
     "a16_miss_curve": (miss_curve, f"with {_MISS} select t::integer t, miss from c"),
     "e8_conformal": (conformal_threshold, f"with {_MISS}, n as (select count(*) n from gt), b as (select t, (n * miss + 1) / (n + 1) > 0.1 bad from c, n) select coalesce(greatest(min(case when bad then t end) - 1, 0), max(t)) t from b"),
-    "a12_status_crosstab": (status_crosstab, "with s as (select source, case when quality is null then 'none' when toxic = 1 then 'toxic' when quality = 1 then 'kept' else 'low' end st from documents left join labels using (doc_id)) select coalesce(source, 'all') source, " + ", ".join(f"sum((st = '{x}')::int)::bigint as \"{x}\"" for x in ("kept", "low", "toxic", "none")) + " from s group by rollup (source)"),
+    "a12_status_crosstab": (status_crosstab, "with s as (select source, case when quality is null then 'none' when toxic = 1 then 'toxic' when quality = 1 then 'kept' else 'low' end st from documents left join labels using (doc_id)) select case when grouping(source) = 1 then 'all' else coalesce(source, '(null)') end source, " + ", ".join(f"sum((st = '{x}')::int)::bigint as \"{x}\"" for x in ("kept", "low", "toxic", "none")) + " from s group by rollup (source)"),
     "p11_provenance_key": (provenance_key, r"select page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://(www\.|m\.)?', ''), '[?#].*$', ''), '/+$', '') as key from pages"),
     "g5_contained_benchmark": (contained_benchmark, "select item_id, count(*) documents, min(doc_id) first_doc from documents d join benchmark b on contains(d.text, b.text) group by 1"),
     "w5_tie_ranks": (tie_ranks, "select o_custkey, o_orderkey, round(rank() over (partition by o_custkey order by p) + (count(*) over (partition by o_custkey, p) - 1) / 2, 6) average_rank, row_number() over (partition by o_custkey order by p, o_orderkey) ordinal_rank from (select o_custkey, o_orderkey, round(o_totalprice, -4) p from orders)"),
@@ -243,5 +238,5 @@ pt as (select gd.cls, gd.x, coalesce(max(env), 0.0) env from gd left join ev on
     "i3_day_counters": (day_counters, "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) n from events group by 1, 2"),
     "r12_sample_weights": (sample_weights, "select doc_id, round(1 / count(*) over (partition by lang), 9) weight from documents"),
 }
-QUERIES = {k: f for k, (f, _) in _TABLE.items()} | {"j7_greedy_match": greedy_match, "j19_suppression": suppression}  # sequential: no SQL
+QUERIES = {k: f for k, (f, _) in _TABLE.items()}
 ORACLES = {k: s for k, (_, s) in _TABLE.items()}

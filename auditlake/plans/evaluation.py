@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import area, intersection, iou, iou_sql
 from ..operators import similarity
+from ..operators.ranking import average_precision, running_sums
 from ..sources.tables import BOX_SQL, predicted_boxes, table, truth_boxes
-from .audit import _COS, _sides, _vectors, average_precision
+from .audit import _COS, _sides, _vectors
 
 #: Image side of the box views; replicates and scenes of the bootstrap.
 SIDE, REPLICATES, SCENES = 500, 200, 40
@@ -150,8 +151,7 @@ def mean_ap(spark, sf_dir):
 
 def operating_point(spark, sf_dir):
     """Per class the confidence of the largest F1, the first of equal ones."""
-    w = Window.partitionBy("cls").orderBy(F.desc("conf"), "pred")
-    run = _flags(spark, sf_dir, 1).select("cls", "conf", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tps"), F.row_number().over(w).alias("k"))
+    run = running_sums(_flags(spark, sf_dir, 1).select("cls", "conf", "pred", "tp", F.lit(1).alias("one")), ["cls"], {"tps": "tp", "k": "one"})
     run = run.join(truth_boxes(spark, sf_dir).groupBy("cls").agg(F.count("*").alias("n")), "cls").withColumn("f1", F.round(2 * F.col("tps") / (F.col("k") + F.col("n")), 12))
     return run.groupBy("cls").agg(_r(F.max("f1"), "f1"), _r(F.max_by("conf", F.struct("f1", (-F.col("k")).alias("j"))), "conf"))
 
@@ -172,8 +172,8 @@ def outcome_rollup(spark, sf_dir):
     ok = iou("g", "p") >= 0.5
     s = F.max(F.when(ok & (F.col("g.cls") == F.col("p.cls")), 2).when(ok, 1).otherwise(0)).alias("s")
     own = _pairs(spark, sf_dir, "left", False).groupBy("g.gt", "g.cls", "g.x1", "g.y1", "g.x2", "g.y2").agg(s).selectExpr(f"{_BAND} stratum", "cls", "s")
-    out = own.rollup("stratum", "cls").agg(F.count("*").alias("n"), F.count_if(F.col("s") == 2).alias("agree"), F.count_if(F.col("s") == 1).alias("class_conflict"))
-    return out.select(F.coalesce("stratum", F.lit("all")).alias("stratum"), F.coalesce("cls", F.lit(-1)).alias("cls"), "n", "agree", "class_conflict", _r(F.col("agree") / F.col("n"), "rate"))
+    out = own.rollup("stratum", "cls").agg(F.count("*").alias("n"), F.count_if(F.col("s") == 2).alias("agree"), F.count_if(F.col("s") == 1).alias("class_conflict"), F.grouping("stratum").alias("g"), F.grouping("cls").alias("h"))
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("stratum")).alias("stratum"), F.when(F.col("h") == 1, -1).otherwise(F.col("cls")).alias("cls"), "n", "agree", "class_conflict", _r(F.col("agree") / F.col("n"), "rate"))
 
 
 def covered_classes(spark, sf_dir):
@@ -313,7 +313,7 @@ _TABLE = {
     "a10_operating_point": (operating_point, f"with {_FLAGS.format(levels=1)}, f as (select cls, conf, kk, round(2 * tps / (kk + n)::double, 12) f1 from k join n using (cls)), r as (select *, row_number() over (partition by cls order by f1 desc, kk) r from f) select cls, round(f1, 6) f1, round(conf, 6) conf from r where r = 1"),
     "a19_banded_sizes": (banded_sizes, f"with {BOX_SQL} select {_BAND} band, count(*) n, median((x2 - x1) * (y2 - y1)) median_area from gt group by 1"),
     "a26_recall_any": (recall_any, f"with {BOX_SQL} select g.cls, count(*) n, round(avg(exists (select 1 from pr p where {_SAME} and {_G} >= 0.5)::int), 6) ar50 from gt g group by 1"),
-    "a20_outcome_rollup": (outcome_rollup, f"with {BOX_SQL}, s as (select g.gt, g.cls, g.x1, g.x2, g.y1, g.y2, max(case when {_G} >= 0.5 and g.cls = p.cls then 2 when {_G} >= 0.5 then 1 else 0 end) s from gt g left join pr p on g.img = p.img group by all), o as (select {_BAND} stratum, cls, s from s) select coalesce(stratum, 'all') stratum, coalesce(cls, -1) cls, count(*) n, sum((s = 2)::int)::bigint agree, sum((s = 1)::int)::bigint class_conflict, round(avg((s = 2)::int), 6) rate from o group by rollup (stratum, cls)"),
+    "a20_outcome_rollup": (outcome_rollup, f"with {BOX_SQL}, s as (select g.gt, g.cls, g.x1, g.x2, g.y1, g.y2, max(case when {_G} >= 0.5 and g.cls = p.cls then 2 when {_G} >= 0.5 then 1 else 0 end) s from gt g left join pr p on g.img = p.img group by all), o as (select {_BAND} stratum, cls, s from s) select case when grouping(stratum) = 1 then 'all' else stratum end stratum, case when grouping(cls) = 1 then -1 else cls end cls, count(*) n, sum((s = 2)::int)::bigint agree, sum((s = 1)::int)::bigint class_conflict, round(avg((s = 2)::int), 6) rate from o group by rollup (stratum, cls)"),
     "f8_covered_classes": (covered_classes, f"with {BOX_SQL} select cls, " + ", ".join(f"sum((img % 3 = {i})::int)::bigint n{i}" for i in range(3)) + " from gt group by 1 having least(n0, n1, n2) >= 5"),
     "i2_lagged_counts": (lagged_counts, "with n as (select ts::date d, event_type, count(*) n from events group by 1, 2) select strftime(a.d, '%Y-%m-%d') as day, a.event_type, a.n, coalesce(b.n, 0) before from n a left join n b on b.d + 1 = a.d and a.event_type = b.event_type"),
     "k6_merge_status": (merge_status, "with n as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '+' else text end) n from documents where doc_id % 3 <> 0), o as (select doc_id, sha256(text) o from documents where doc_id % 3 <> 1) select case when o is null then 'new' when n is null then 'kept' when n = o then 'same' else 'replaced' end status, count(*) as \"rows\" from n full join o using (doc_id) group by 1"),

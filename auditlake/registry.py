@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import audit, evaluation
+from .plans import audit, detection, evaluation
 
-QUERIES = audit.QUERIES | evaluation.QUERIES
-ORACLES = audit.ORACLES | evaluation.ORACLES
+_PLANS = (audit, evaluation, detection)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
