@@ -49,3 +49,21 @@ def similarity_join(queries: DataFrame, base: DataFrame, k: int | None = None, l
         return found
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 12)), "bid")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def kernel_mean(queries: DataFrame, base: DataFrame, gamma: float = 4.0, block: int = BLOCK) -> float:
+    """Mean of exp(-gamma (1 - cos)) over all pairs, each vector with itself too; a pair of blocks returns one sum."""
+    nq, nb = (max(1, -(-d.count() // block)) for d in (queries, base))
+    q = queries.select(F.col("vec").alias("qvec"), F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    b = base.select(F.col("vec").alias("bvec"), F.pmod(F.xxhash64("bid"), F.lit(nb)).cast("int").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        total = 0.0
+        if len(left) and len(right):
+            x, y = (np.array(list(v), float) for v in (left["qvec"], right["bvec"]))
+            x, y = (v / np.maximum(np.linalg.norm(v, axis=1)[:, None], 1e-300) for v in (x, y))
+            total = sum(float(np.exp(-gamma * (1 - x[at : at + 512] @ y.T)).sum()) for at in range(0, len(x), 512))
+        return pd.DataFrame({"total": [total], "n": [len(left) * len(right)]})
+
+    sums = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(lambda x, y: pair(x, y), "total double, n long").agg(F.sum("total"), F.sum("n")).first()
+    return sums[0] / sums[1] if sums[1] else 0.0

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import audit, detection, evaluation
+from .plans import audit, detection, evaluation, statistics
 
-_PLANS = (audit, evaluation, detection)
+_PLANS = (audit, evaluation, detection, statistics)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
