@@ -1,0 +1,69 @@
+"""Views: fusion, transfer, coverage, memoised verification, regions and evidence against hand-built cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from auditlake.operators import views
+from auditlake.operators.graph import components
+from auditlake.plans.detection import _cells
+from auditlake.plans.views import turns
+
+B, A = 1, 2
+PREDS = "img long, cls long, pred long, x1 double, y1 double, x2 double, y2 double, conf double"
+
+
+def graph(spark, stratum="other"):
+    rows = [(B, A, stratum, 1.0, 0.0, 300.0, 0.0, 1.0, 0.0), (A, B, stratum, 1.0, 0.0, -300.0, 0.0, 1.0, 0.0)]
+    return spark.createDataFrame(rows, "img long, src long, stratum string, a double, b double, tx double, c double, d double, ty double")
+
+
+def test_fusion(spark):
+    rows = [(B, 1, 1, 400, 100, 450, 150, 0.8), (B, 1, 2, 50, 100, 100, 150, 0.7), (A, 1, 3, 100, 100, 150, 150, 0.4), (A, 2, 4, 200, 300, 260, 360, 0.6)]
+    preds = spark.createDataFrame([(*r[:3], *map(float, r[3:])) for r in rows], PREDS)
+    got = lambda **k: {(r.x1, r.y1, r.x2, r.y2): round(r.conf, 6) for r in views.fuse(preds, graph(spark, k.pop("stratum", "other")), **k).where(f"img = {B}").collect()}
+    assert got() == {(400, 100, 450, 150): 0.6, (50, 100, 100, 150): 0.7, (500, 300, 560, 360): 0.3}
+    assert got(weight=0.5)[(400, 100, 450, 150)] == round((0.8 + 0.5 * 0.4) / 1.5, 6)
+    assert got(stratum="same") == {(400, 100, 450, 150): 0.8, (50, 100, 100, 150): 0.7}
+
+
+def test_transfer(spark):
+    rows = [(150.0, 150.0, 200.0, 200.0, 0.9), (450.0, 450.0, 600.0, 600.0, 0.9), (600.0, 100.0, 700.0, 200.0, 0.9), (150.0, 150.0, 200.0, 200.0, 0.1)]
+    df = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, conf double")
+    out = views.transfer_outcome(("x1", "y1", "x2", "y2"), "conf", F.lit(0.5), (100.0, 100.0, 500.0, 500.0))
+    assert [r[0] for r in df.select(out).collect()] == ["kept", "ignored", "outside", "unsure"]
+
+
+def test_coverage(spark):
+    m = {k: F.lit(v) for k, v in zip(views.MAP, (1.0, 0.0, 250.0, 0.0, 1.0, 0.0), strict=True)}
+    r = spark.range(1).select(views.clamped_coverage(m, 500), views.grid_coverage(m, 500, 8), views.scale_of(m)).first()
+    assert tuple(r) == (0.5, 0.5, 1.0)
+    back = views.inverse({k: F.lit(v) for k, v in zip(views.MAP, (0.9, -0.2, 30.0, 0.2, 0.9, -12.0), strict=True)})
+    there = views.moved(F.lit(0.9 * 7 - 0.2 * 3 + 30.0), F.lit(0.2 * 7 + 0.9 * 3 - 12.0), back)
+    assert [round(x, 9) for x in spark.range(1).select(*there).first()] == [7, 3]
+
+
+def test_verified_skips_the_cache(spark):
+    pairs = spark.createDataFrame([(2, 1, "x"), (1, 2, "x"), (3, 4, "y")], "a long, b long, t string")
+    cache = spark.createDataFrame([(2, 1, 0.25), (7, 8, 0.5)], "a long, b long, score double")
+
+    def check(batch):
+        assert set(batch["t"]) <= {"y"}
+        return batch["t"].map({"y": 0.75})
+
+    assert {tuple(r) for r in views.verified(pairs, check, cache).collect()} == {(1, 2, 0.25), (3, 4, 0.75)}
+    assert views.verified(pairs, lambda b: b["t"].map({"x": 1.0, "y": 0.5})).count() == 2
+    with pytest.raises(ValueError, match="keys: 3"):
+        views.none_of(pairs, "keys")
+    views.none_of(pairs.where("false"), "keys")
+
+
+def test_turns_and_cells(spark):
+    assert len({tuple(t) for t in turns(4)}) == 8 and all(sorted(t) == list(range(16)) for t in turns(4)) and turns(2)[0] == [0, 1, 2, 3]
+    box = spark.createDataFrame([(0.0, 0.0, 32.0, 9.0)], "x1 double, y1 double, x2 double, y2 double")
+    assert {(r.ix, r.iy) for r in _cells(box).collect()} == set() and {(r.ix, r.iy) for r in _cells(box.withColumn("y2", F.lit(31.0))).collect()} == {(0, 0), (1, 0), (0, 1), (1, 1)}
+
+
+def test_long_chain_is_one_component(spark):
+    n = 3000
+    got = components(spark.range(n).selectExpr("id a", "id + 1 b"))
+    assert got.count() == n and got.select("root").distinct().collect() == [(0,)]
