@@ -52,7 +52,7 @@ def _lines(lines: str, at: Column, n: Column) -> Column:
 
 def _places(cut: DataFrame) -> DataFrame:
     """(doc_id, rk, k, at, h) of chunks of two lines or more; k is the chunk's place among its text's chunks."""
-    each = cut.select("doc_id", "rk", F.posexplode("chunks").alias("k", "c"))
+    each = cut.select("doc_id", "rk", F.posexplode_outer("chunks").alias("k", "c"))  # (for an inner one, a filter on the chunks' size is made beneath, which computes them twice)
     return each.where("c.n >= 2").select("doc_id", "rk", "k", F.col("c.at").alias("at"), F.col("c.h").alias("h"))
 
 
