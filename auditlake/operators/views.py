@@ -147,6 +147,19 @@ def verified(pairs: DataFrame, verify: Callable[[pd.DataFrame], pd.Series], cach
     return new if known is None else known.unionByName(new)
 
 
+def cached(pairs: DataFrame, verify: Callable[[pd.DataFrame], pd.Series], path: str) -> DataFrame:
+    """verified() with a Parquet table of what was verified before; new pairs are appended to it. Returns the scores of these pairs."""
+    spark = pairs.sparkSession
+    types = dict(pairs.dtypes)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    schema = f"a {types['a']}, b {types['b']}, score double"
+    known = spark.read.schema(schema).parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else spark.createDataFrame([], schema)
+    key = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    new = pairs.select(*key, *[c for c in pairs.columns if c not in ("a", "b")]).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    verified(new, verify).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).join(pairs.select(*key).distinct(), ["a", "b"], "left_semi")
+
+
 def none_of(rows: DataFrame, what: str) -> None:
     """Raises, with some examples, if there is any row."""
     found = rows.limit(3).collect()
