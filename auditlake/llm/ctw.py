@@ -1,12 +1,15 @@
 """Operator 3, LM scoring by context-tree weighting over bytes.
 
-Training counts every byte after its DEPTH preceding bytes, over all training texts (Spark sums the counts). A byte is eight
-binary choices on a path through 255 nodes; each node has a context tree over the preceding bytes, whose nodes hold
-Krichevsky-Trofimov estimates. Weighting mixes, at each context, its own estimate with the product over its longer
-contexts, one half each, which gives every depth a posterior weight. Contexts seen in under one CONTEXT_SHARE-th of all
-positions aren't split off: below a context they form one further child together, so the tree has a proven size at any
-input size and its leaves still partition the training data. The finished model is an automaton: its states are
-contexts, and a state and a byte give a code length and the next state. Texts are scored in lanes that advance together.
+A byte is eight binary choices on a path through 255 nodes. Each node has a context tree over the DEPTH preceding bytes, whose
+nodes hold Krichevsky-Trofimov estimates of the training texts' choices. Weighting mixes, at each context, its own estimate with
+the product over its longer contexts, one half each, which gives every depth a posterior weight. No context is pruned: the tree
+grows with the corpus and is never gathered in one place.
+
+1. Grams, DEPTH bytes of context and the byte after them, are counted over the whole corpus, training texts by their number.
+2. Subtrees below the contexts of two bytes are worked off apart, many to a task; only sums for the contexts of one byte (256
+   times 255 numbers) reach the driver, which weights the two top levels. So each gram gets its code length.
+3. Up to SHARED_GRAMS grams, their code lengths are broadcast. Beyond, texts are dealt to batches and the lengths of a batch's own
+   distinct grams are joined to it (a gram is at most once in a batch, so no key is hot). Both give the same scores.
 
 The baseline beside it is a smoothed word unigram; its counts stay distributed, but for the FREQUENT commonest words.
 """
@@ -18,26 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, stash, table
 
-DEPTH, CONTEXT_SHARE = 5, 1 << 14
+DEPTH = 5
+#: Grams that a task builds trees of; grams whose code lengths are broadcast (12 bytes each); bytes of text that share a dictionary beyond.
+PART_GRAMS, SHARED_GRAMS, BATCH_BYTES = 300_000, 4_000_000, 16 << 20
 #: Words whose counts are broadcast, and their greatest length in bytes; all other words are joined by shuffling.
 FREQUENT, WORD_BYTES = 1 << 17, 64
-_CHUNK, _LANE, _MERGE, _ROWS, _WORDS = 2 << 20, 256, 1_000_000, 1000, 300_000
-
-
-# -- bytes ------------------------------------------------------------------------------------------------------------
+_CHUNK, _SLOTS, _HELD, _WORDS, _ROWS = 2 << 20, 22, 2_000_000, 300_000, 1000
+_NONE = {"uid": 0, "doc_id": 0, "no_id": True, "trained": False, "n_tokens": 0, "n_known": 0, "base": 0.0, "size": 0, "bits": 0.0, "word": None, "n": 0}
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _laid_out(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts, each after depth zero bytes and with one zero byte at its end; where each begins, and its length with the end."""
-    pad = b"\0" * depth
-    data = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8)
-    length = np.array([len(t) + 1 for t in texts], np.int64)
-    return data, np.cumsum(length + depth) - length, length
+# -- grams ------------------------------------------------------------------------------------------------------------
 
 
 def _chunks(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
@@ -52,39 +51,53 @@ def _chunks(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    data, start, length = _laid_out(texts, depth)
-    key = np.zeros(len(data) - depth, np.uint64)
+def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every byte of the texts and of one zero byte at each end, and each text's first place. Before a text are zeros."""
+    pad = b"\0" * depth
+    data = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8)
+    key = np.zeros(max(0, len(data) - depth), np.uint64)
     for i in range(depth + 1):
         key = (key << np.uint64(8)) | data[i : len(data) - depth + i]
-    counted = np.ones(len(key), bool)
-    if depth:  # positions of the padding of all texts but the first
-        between = (start[1:] - depth)[:, None] + np.arange(depth)[None]
-        counted[(between - depth).ravel()] = False
-    return np.unique(key[counted], return_counts=True)
+    length = np.array([len(t) + 1 for t in texts], np.int64)
+    start = np.cumsum(length) - length
+    own = np.ones(len(key), bool)
+    if depth and len(texts) > 1:  # places inside the padding of all texts but the first
+        first = start[1:] + depth * np.arange(1, len(texts))
+        own[(first[:, None] - 1 - np.arange(depth)[None]).ravel()] = False
+    return key[own], start
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, which = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(which, np.concatenate(counts), minlength=len(key)).astype(np.int64)
 
 
-def count_bytes(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, c): depth bytes of context and the byte after them, as one number; c: how often. texts: one binary column."""
+def count_grams(texts: DataFrame, depth: int) -> DataFrame:
+    """(key, c) of every gram of the texts; c counts the training rows alone. texts: text (binary), trained."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts, size = [], [], 0
+        for b in batches:
+            for trained in (True, False):
+                for part in _chunks(x.lower() for x in b["text"][b["trained"] == trained]):
+                    key, n = np.unique(grams(part, depth)[0], return_counts=True)
+                    keys.append(key), counts.append(n * trained)
+                    size += len(key)
+            if size > _HELD:
+                key, n = _summed(keys, counts)
+                keys, counts, size = [key], [n], len(key)
+                if size > _HELD // 2:
+                    yield pd.DataFrame({"key": key.view(np.int64), "c": n})
+                    keys, counts, size = [], [], 0
+        key, n = _summed(keys, counts)
+        yield pd.DataFrame({"key": key.view(np.int64), "c": n})
 
-        def merged() -> pd.DataFrame:
-            k, which = np.unique(np.concatenate(keys), return_inverse=True)
-            return pd.DataFrame({"key": k.astype(np.int64), "c": np.bincount(which, np.concatenate(counts)).astype(np.int64)})
+    return texts.mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
-        for part in _chunks(x for b in batches for x in b["text"]):
-            k, c = _grams(part, depth)
-            keys.append(k), counts.append(c)
-            size += len(k)
-            if size > _MERGE:
-                yield merged()
-                keys, counts, size = [], [], 0
-        if keys:
-            yield merged()
 
-    return texts.mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+# -- trees ------------------------------------------------------------------------------------------------------------
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -99,153 +112,191 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
 
 
-def _nodes(counts: np.ndarray) -> np.ndarray:
-    """Counts of bytes, 256 a row, to counts of the 511 places of the byte's binary tree (1 is the root, 256 + b is byte b)."""
-    out = np.zeros((len(counts), 512))
-    out[:, 256:] = counts
+def _kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """ln of the KT probability of these numbers of choices."""
+    return _log_gamma(zero + 0.5) + _log_gamma(one + 0.5) - _log_gamma(zero + one + 1) - np.log(np.pi)
+
+
+def _weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the weighted probability, and the posterior weight of the own estimate."""
+    total = np.logaddexp(own, below) - np.log(2)
+    return total, np.exp(own - np.log(2) - total)
+
+
+def subtrees(key: np.ndarray, c: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For whole subtrees below contexts of two bytes: the chance of each choice of each gram from depth two on (eight a row), and
+    the sums of the weighted logarithms at depth two, a row for each context of one byte and a column for each node."""
+    byte = (key & np.uint64(255)).astype(np.int64)
+    count = c.astype(float)
+    chance = np.zeros((len(key), 8))
+    top = np.zeros((256, 256))
+    before: list[tuple[np.ndarray, np.ndarray]] = []  # of the longer contexts: a gram of each node, the weighted logarithm
+    for d in range(depth, 1, -1):
+        low = key & np.uint64((1 << (8 * (d + 1))) - 1)
+        order = np.argsort(low, kind="stable")
+        low, n, own_byte = low[order], count[order], byte[order]
+        here = []
+        for j in range(8):
+            place = low >> np.uint64(8 - j)  # context and the path to the node
+            head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            bit = (own_byte >> (7 - j)) & 1
+            one = np.add.reduceat(n * bit, head)
+            zero = np.add.reduceat(n, head) - one
+            run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(low))))
+            node = np.empty(len(key), np.int64)
+            node[order] = run
+            part = np.empty(len(key))
+            part[order] = (np.where(bit, one[run], zero[run]) + 0.5) / (zero + one + 1)[run]
+            total = _kt(zero, one)
+            if d == depth:
+                chance[:, j] = part
+            else:
+                some, logs = before[j]
+                total, weight = _weighted(total, np.bincount(node[some], logs, minlength=len(head)))
+                weight = weight[node]
+                chance[:, j] = weight * part + (1 - weight) * chance[:, j]
+            here.append((order[head], total))
+            if d == 2:
+                np.add.at(top, (((low[head] >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (256 + own_byte[head]) >> (8 - j)), total)
+        before = here
+    return chance, top
+
+
+def top_levels(pairs: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(weight, chance of one) by node at depth 0, and by last byte and node at depth 1. pairs: counts by last byte and byte."""
+    places = np.zeros((256, 512))
+    places[:, 256:] = pairs
     for n in range(255, 0, -1):
-        out[:, n] = out[:, 2 * n] + out[:, 2 * n + 1]
+        places[:, n] = places[:, 2 * n] + places[:, 2 * n + 1]
+    zero, one = places[:, 0::2], places[:, 1::2]
+    total, weight = _weighted(_kt(zero, one), below)
+    zero0, one0 = zero.sum(0), one.sum(0)
+    return _weighted(_kt(zero0, one0), total.sum(0))[1], (one0 + 0.5) / (zero0 + one0 + 1), weight, (one + 0.5) / (zero + one + 1)
+
+
+def bits_of(key: np.ndarray, chance: np.ndarray, levels: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The code lengths of the grams."""
+    weight0, one0, weight1, one1 = levels
+    byte, last = (key & np.uint64(255)).astype(np.int64), ((key >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
+    out = np.zeros(len(key))
+    for j in range(8):
+        node, bit = (256 + byte) >> (8 - j), (byte >> (7 - j)) & 1
+        p0, p1 = (np.where(bit, x, 1 - x) for x in (one0[node], one1[last, node]))
+        deep = weight1[last, node] * p1 + (1 - weight1[last, node]) * chance[:, j]
+        out -= np.log2(weight0[node] * p0 + (1 - weight0[node]) * deep)
     return out
 
 
-def _kt(places: np.ndarray) -> np.ndarray:
-    """ln of the KT probability of the choices at each of the nodes 0 to 255 (0 is unused)."""
-    zero, one = places[:, 0::2], places[:, 1::2]
-    return _log_gamma(zero + 0.5) + _log_gamma(one + 0.5) - _log_gamma(zero + one + 1) - np.log(np.pi)
+def code_lengths(counts: DataFrame, depth: int = DEPTH, part_grams: int = PART_GRAMS) -> DataFrame:
+    """(key, bits) of every gram. counts: (key, c), one row a gram; c is 0 for grams that the training texts don't have."""
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be 2 to 7")
+    parts = max(1, -(-counts.count() // part_grams))
+    dealt = counts.withColumn("part", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(parts)).cast("int"))
 
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        key = part["key"].to_numpy(np.int64).view(np.uint64)
+        chance, top = subtrees(key, part["c"].to_numpy(np.int64), depth)
+        last, node = np.nonzero(top)
+        return pd.concat([
+            pd.DataFrame({"key": key.view(np.int64), "chance": [x.tobytes() for x in chance], "total": 0.0}),
+            pd.DataFrame({"key": last * 256 + node, "chance": None, "total": top[last, node]}),
+        ])
 
-def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The automaton (bits, step), a row for each state and a column for each byte; state 0 is the empty context.
+    grown = stash(dealt.groupBy("part").applyInPandas(grow, "key long, chance binary, total double"))
+    below, pairs = np.zeros(1 << 16), np.zeros(1 << 16)
+    for r in grown.where("chance is null").groupBy("key").agg(F.sum("total").alias("x")).collect():  # 65,536 rows at most
+        below[r.key] = r.x
+    for r in counts.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("c").alias("x")).collect():  # 65,536 rows at most
+        pairs[r.key] = r.x
+    levels = top_levels(pairs.reshape(256, 256), below.reshape(256, 256))
 
-    levels: for each depth from 0: contexts (ascending), rows and bytes of the counted successors as one key, counts.
-    Contexts must be closed: with a context, the one without its first byte and the one without its last are there.
-    """
-    depth = len(levels) - 1
-    sizes = [len(c) for c, _, _ in levels]
-    base = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-
-    def dense(d: int) -> np.ndarray:
-        contexts, keys, c = levels[d]
-        own = np.zeros((len(contexts), 256))
-        own[np.searchsorted(contexts, keys >> np.uint64(8)), (keys & np.uint64(255)).astype(int)] = c
-        return own
-
-    # The context that lacks the first, oldest byte.
-    shorter = [np.zeros(0, np.int64)] + [np.searchsorted(levels[d - 1][0], levels[d][0] & np.uint64((1 << (8 * (d - 1))) - 1)) for d in range(1, depth + 1)]
-    weight, rest = [np.zeros(0)] * (depth + 1), [np.zeros(0)] * (depth + 1)
-    weighted = longer_counts = None  # of the next depth
-    for d in range(depth, -1, -1):
-        counts = dense(d)
-        own = _by_rows(lambda c: _kt(_nodes(c)), counts)
-        if d == depth:
-            weighted, weight[d], rest[d] = own, np.ones(own.shape, np.float32), counts.astype(np.float32)
-        else:
-            left = counts.copy()
-            below = np.zeros_like(own)
-            if sizes[d + 1]:
-                np.subtract.at(left, shorter[d + 1], longer_counts)
-                np.add.at(below, shorter[d + 1], weighted)
-            below += _by_rows(lambda c: _kt(_nodes(c)), left)
-            weighted = np.logaddexp(own, below) - np.log(2)
-            weight[d], rest[d] = np.exp(own - np.log(2) - weighted).astype(np.float32), left.astype(np.float32)
-        longer_counts = counts
-    bits = np.zeros((base[-1], 256), np.float32)
-    step = np.zeros((base[-1], 256), np.int32)
-    before = left = None
-    for d in range(depth + 1):
-        up = shorter[d]
-        own = _by_rows(_chance, dense(d)) * weight[d]
-        mixed = own if d == 0 else before[up] + left[up] * own
-        open_ = 1.0 - weight[d] if d == 0 else left[up] * (1.0 - weight[d])
-        weight[d] = np.zeros(0)
-        bits[base[d] : base[d + 1]] = _by_rows(_lengths, mixed + open_ * _by_rows(_chance, rest[d].astype(float)))
-        step[base[d] : base[d + 1]] = step[base[d - 1] + up] if d else 0
-        if d < depth and sizes[d + 1]:
-            longer = levels[d + 1][0]
-            at = np.searchsorted(levels[d][0], longer >> np.uint64(8))
-            step[base[d] + at, (longer & np.uint64(255)).astype(int)] = base[d + 1] + np.arange(len(longer))
-        before, left = mixed, open_
-    return bits, step
-
-
-def _by_rows(f, rows: np.ndarray, size: int = 1024) -> np.ndarray:
-    """f of some rows at a time: its working memory is bounded."""
-    return np.concatenate([f(rows[i : i + size]) for i in range(0, len(rows), size)]) if len(rows) else np.zeros((0, 256))
-
-
-def _chance(counts: np.ndarray) -> np.ndarray:
-    """The KT probability that the choice at each node is one."""
-    p = _nodes(counts)
-    return (p[:, 1::2] + 0.5) / (p[:, 0::2] + p[:, 1::2] + 1)
-
-
-def _lengths(one: np.ndarray) -> np.ndarray:
-    """Bits of each byte, from the probabilities of one at the nodes."""
-    out = np.zeros((len(one), 512))
-    for n in range(1, 256):
-        out[:, 2 * n] = out[:, n] - np.log2(1 - one[:, n])
-        out[:, 2 * n + 1] = out[:, n] - np.log2(one[:, n])
-    return out[:, 256:]
-
-
-def fit(grams: DataFrame, depth: int = DEPTH, share: int = CONTEXT_SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """The automaton of the byte counts. At each depth at most share contexts are kept, by their counts alone."""
-    total = grams.agg(F.sum("c")).first()[0] or 0
-    least = max(1, -(-total // share))
-    levels = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            grams = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("key")).agg(F.sum("c").alias("c"))
-        context = F.shiftright("key", 8)
-        kept = grams.groupBy(context.alias("context")).agg(F.sum("c").alias("n")).where(F.col("n") >= least)  # share rows at most
-        rows = grams.join(F.broadcast(kept), context == F.col("context")).select("key", "c").orderBy("key").toPandas()
-        keys = rows["key"].to_numpy().astype(np.uint64)
-        contexts = np.unique(keys >> np.uint64(8)) if total or d else np.zeros(1, np.uint64)
-        levels.append((contexts, keys, rows["c"].to_numpy(float)))
-    return build(levels[::-1])
-
-
-def code_lengths(texts: list[bytes], bits: np.ndarray, step: np.ndarray, depth: int) -> np.ndarray:
-    """Bits of each text with its end."""
-    data, start, length = _laid_out(texts, depth)
-    lanes = -(-length // _LANE)
-    owner = np.repeat(np.arange(len(texts)), lanes)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-    at = start[owner] + nth * _LANE
-    size = np.minimum(length[owner] - nth * _LANE, _LANE)
-    order = np.argsort(-size, kind="stable")
-    at, size, owner = at[order], size[order], owner[order]
-    flat_bits, flat_step = bits.ravel(), step.ravel()
-    state = np.zeros(len(at), np.int64)
-    for i in range(-depth, 0):  # the state depends on the last depth bytes alone
-        state = flat_step[(state << 8) + data[at + i]].astype(np.int64)
-    total = np.zeros(len(at))
-    active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
-    for i, n in enumerate(active.tolist()):
-        where = (state[:n] << 8) + data[at[:n] + i]
-        total[:n] += flat_bits[where]
-        state[:n] = flat_step[where]
-    return np.bincount(owner, total, minlength=len(texts))
+    def measure(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            key = b["key"].to_numpy(np.int64)
+            yield pd.DataFrame({"key": key, "bits": bits_of(key.view(np.uint64), np.frombuffer(b"".join(b["chance"]), float).reshape(-1, 8), levels)})
+
+    return grown.where("chance is not null").select("key", "chance").mapInPandas(measure, "key long, bits double")
+
+
+# -- texts ------------------------------------------------------------------------------------------------------------
+
+
+class Lookup:
+    """Numbers by gram: a table of slots answers nearly all places, a search the others."""
+
+    def __init__(self, key: np.ndarray, bits: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.bits = key[order], bits[order]
+        self.slot = np.zeros(1 << _SLOTS, np.int32)
+        self.slot[self._of(self.key)] = np.arange(len(key), dtype=np.int32)
+
+    @staticmethod
+    def _of(key: np.ndarray) -> np.ndarray:
+        return ((key * _MIX) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        at = self.slot[self._of(key)]
+        other = np.flatnonzero(self.key[at] != key)
+        at[other] = np.searchsorted(self.key, key[other])
+        return self.bits[at]
+
+
+def _packed(prices: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The table in the driver, 12 bytes a row."""
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            yield pd.DataFrame({"key": [b["key"].to_numpy(np.int64).tobytes()], "bits": [b["bits"].to_numpy(np.float32).tobytes()]})
+
+    got = prices.mapInPandas(run, "key binary, bits binary").collect()
+    return np.frombuffer(b"".join(r.key for r in got), np.uint64), np.frombuffer(b"".join(r.bits for r in got), np.float32)
+
+
+def by_dictionaries(texts: DataFrame, prices: DataFrame, depth: int, batch_bytes: int) -> DataFrame:
+    """The same for a table of any size: texts are dealt to batches, and the lengths of a batch's own grams are joined to it."""
+    size = texts.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    dealt = texts.select("uid", "text", F.pmod(F.xxhash64("uid"), F.lit(max(1, -(-size // batch_bytes)))).cast("int").alias("batch"))
+
+    def need(part: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.unique(grams(x, depth)[0]) for x in _chunks(x.lower() for x in part["text"])]
+        return pd.DataFrame({"batch": part["batch"].iloc[0], "key": np.unique(np.concatenate(keys)).view(np.int64)})
+
+    own = dealt.groupBy("batch").applyInPandas(need, "batch int, key long").join(prices, "key")
+
+    def price(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        look = Lookup(own["key"].to_numpy(np.int64).view(np.uint64), own["bits"].to_numpy())
+        return pd.DataFrame({"uid": part["uid"], "bits": _lengths((x.lower() for x in part["text"]), look, depth)})
+
+    return dealt.groupBy("batch").cogroup(own.groupBy("batch")).applyInPandas(lambda x, y: price(x, y), "uid long, bits double")
+
+
+def _lengths(texts: Iterator[bytes], look: Lookup, depth: int) -> np.ndarray:
+    out = [np.zeros(0)]
+    for part in _chunks(texts):
+        key, start = grams(part, depth)
+        out.append(np.add.reduceat(look(key).astype(float), start))
+    return np.concatenate(out)
 
 
 # -- words ------------------------------------------------------------------------------------------------------------
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over the whole texts. texts: one binary column, lower-cased in A-Z."""
+    """(word, c) over the whole texts. texts: text (binary)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
             for x in b["text"]:
-                seen.update(x.split())
+                seen.update(x.lower().split())
                 if len(seen) > _WORDS:
                     yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
                     seen = Counter()
         if seen:
             yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
 
-    return texts.mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(words: DataFrame, most: int) -> DataFrame:
@@ -261,66 +312,62 @@ def most_frequent(words: DataFrame, most: int) -> DataFrame:
     return short.where(grade >= F.lit(least))
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, share: int = CONTEXT_SHARE, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shared_grams: int = SHARED_GRAMS, batch_bytes: int = BATCH_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     train: condition on docs for the rows that teach. score is the model's log10 probability of the text (lower-cased in
     A-Z, with its end), base_score that of the unigram. Null texts count as empty: one end. Rows repeated under one
-    id with one text teach as often and score alike. Null ids are allowed. Other columns are ignored; with no training
-    row both models are uniform; an empty table gives an empty result.
+    id teach and score each. Null ids are allowed. A text of any length is scored whole. Other columns are ignored,
+    whatever their names; with no training row both models are uniform; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("rk"), F.coalesce(train, F.lit(False)).alias("trained"))
-
-    def lowered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"text": [x.lower() for x in b["text"]]})
-
-    taught = slim.where("trained").select("text").mapInPandas(lowered, "text binary")
-    model = fit(stash(count_bytes(taught, depth)), depth, share)
-    words = stash(count_words(taught))
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("trained"))
+    own = own.withColumn("uid", F.monotonically_increasing_id())
+    prices = stash(code_lengths(stash(count_grams(own, depth)), depth))
+    few = prices.count() <= shared_grams
+    if not few:
+        own = stash(own)  # it is read several times, and uid must stay
+    table_ = _packed(prices) if few else None  # shared_grams rows at most
+    words = stash(count_words(own.where("trained")))
     types, tokens = words.agg(F.count("*"), F.sum("c")).first()
-    ends = slim.where("trained").count()
+    ends = own.where("trained").count()
     n_train = (tokens or 0) + ends
     log_all = float(np.log10(n_train + 0.5 * (types + (ends > 0) + 1)))
     log_end = float(np.log10(ends + 0.5))
     top = most_frequent(words, frequent).toPandas()
     known = (b" ".join(top["word"]), np.log10(top["c"].to_numpy(float) + 0.5))  # frequent * WORD_BYTES bytes at most
-    shared = spark.sparkContext.broadcast((model, known))
+    shared = docs.sparkSession.sparkContext.broadcast((known, table_))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (bits, step), (names, logs) = shared.value
-        at = {w: i for i, w in enumerate(names.split(b" "))} if names else {}
-        for b in (whole.iloc[i : i + _ROWS] for whole in batches for i in range(0, len(whole), _ROWS)):
-            low = [x.lower() for x in b["text"]]
-            lengths = np.concatenate([code_lengths(part, bits, step, depth) for part in _chunks(iter(low))] or [np.zeros(0)])
-            rows, rare = [], []
-            for i, (doc, rk, trained, x) in enumerate(zip(b["doc_id"], b["rk"], b["trained"], low, strict=True)):
-                doc = None if pd.isna(doc) else int(doc)
-                split = x.split()
-                found = list(map(at.get, split))
-                hit = [f for f in found if f is not None]
-                rows.append((doc, rk, trained, len(split) + 1, len(hit) + (ends > 0), float(logs[hit].sum()) + log_end, -float(lengths[i]) * np.log10(2), float(lengths[i]) / (len(x) + 1), None, 0))
-                if len(hit) < len(split):
-                    rare += [(doc, rk, w, c) for w, c in Counter(w for w, f in zip(split, found, strict=True) if f is None).items()]
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
-            if rare:
-                part = pd.DataFrame(rare, columns=["doc_id", "rk", "word", "n"])
-                yield part.assign(trained=None, n_tokens=0, n_known=0, base=0.0, score=0.0, bits_per_byte=0.0)[columns].astype({"doc_id": "Int64"})
-
-    columns = ["doc_id", "rk", "trained", "n_tokens", "n_known", "base", "score", "bits_per_byte", "word", "n"]
-    mixed = stash(slim.mapInPandas(run, "doc_id long, rk long, trained boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double, word binary, n long"))
-    # A word that isn't frequent has few rows, but a new word may be common in the texts to score: pre-sum per document was done above.
-    rare = mixed.where("word is not null").select("doc_id", "rk", "word", "n").join(words, "word", "left")
-    rare = rare.groupBy("doc_id", "rk").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    rare = rare.withColumnsRenamed({"doc_id": "rare_id", "rk": "rare_rk"})
-    main = mixed.where("word is null").withColumn("copies", F.count("*").over(Window.partitionBy("doc_id", "rk")))
-    out = main.join(rare, F.col("doc_id").eqNullSafe(F.col("rare_id")) & (F.col("rk") == F.col("rare_rk")), "left")
-    extra = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
-    return out.select(
-        "doc_id", "trained", "n_tokens", (F.col("n_known") + F.round(extra("rare_known")).cast("long")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + extra("rare_base") - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), "score", "bits_per_byte",
+        (names, logs), grams_ = shared.value
+        at = dict(zip(names.split(b" "), logs.tolist(), strict=True)) if names else {}
+        look = Lookup(*grams_) if grams_ else None
+        for whole in batches:
+            for b in (whole.iloc[i : i + _ROWS] for i in range(0, len(whole), _ROWS)):
+                rows, rare = [], []
+                low = [x.lower() for x in b["text"]]
+                for uid, x in zip(b["uid"].tolist(), low, strict=True):
+                    split = x.split()
+                    hit = [f for f in map(at.get, split) if f is not None]
+                    rows.append((len(split) + 1, len(hit) + (ends > 0), sum(hit) + log_end - (len(split) + 1) * log_all, len(x) + 1))
+                    if len(hit) < len(split):
+                        rare += [(uid, w, n) for w, n in Counter(w for w in split if w not in at).items()]
+                out = b[["uid", "doc_id", "no_id", "trained"]].reset_index(drop=True)
+                out[["n_tokens", "n_known", "base", "size"]] = rows
+                out["bits"] = _lengths(iter(low), look, depth) if look else 0.0
+                yield pd.concat([out.assign(word=None, n=0), pd.DataFrame(rare, columns=["uid", "word", "n"]).assign(**{c: v for c, v in _NONE.items() if c not in ("uid", "word", "n")})])[list(_NONE)].astype({c: "int64" for c in ("n_tokens", "n_known", "size", "n")})
+
+    schema = "uid long, doc_id long, no_id boolean, trained boolean, n_tokens long, n_known long, base double, size long, bits double, word binary, n long"
+    mixed = stash(own.mapInPandas(run, schema))
+    # Of a word that isn't frequent each document sends one row; new words may be common, so the join is one that can be split.
+    rare = mixed.where("word is not null").select("uid", "word", "n").join(words, "word", "left")
+    rare = rare.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
+    main = mixed.where("word is null").join(rare, "uid", "left")
+    if not few:
+        main = main.drop("bits").join(by_dictionaries(own, prices, depth, batch_bytes), "uid")
+    return main.select(
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "trained", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("bits") * F.lit(-float(np.log10(2)))).alias("score"), (F.col("bits") / F.col("size")).alias("bits_per_byte"),
     )
 
 
