@@ -1,57 +1,19 @@
-"""Shared parts of the training-data operators: reading, stashing, text keys and components."""
+"""Shared parts of the training-data operators: reading, text keys and column names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, shared_dir, stash  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_STASHED: list[tuple[object, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. spark.checkpoint.dir; on a local master without it a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='auditlake-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again.
-
-    The files outlive lost executors; they are deleted when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STASHED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_stashed() -> None:
-    for spark, path in _STASHED:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM is gone; the cluster cleans its checkpoint folder
-            return
-
-
-atexit.register(_drop_stashed)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Pure ASCII texts take the JVM's fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -68,32 +30,3 @@ def unused(df: DataFrame, name: str) -> str:
 def crc_mod(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo by. A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(by))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected edge list by alternating large and small stars.
-
-    edges: (u, v), any two columns of one orderable type. Returns (node, root), root being the smallest
-    node reachable; nodes without an edge to another node are absent. Each round is one shuffle-bounded job
-    whose result is stashed; rounds grow with the logarithm of the size, not with the diameter.
-    """
-    u, v = edges.columns[:2]
-    a, b = F.col(u), F.col(v)
-    e = stash(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    was = mark(e)
-    while was[0]:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("m < v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = stash(small.unionAll(low.select(F.col("m").alias("a"), F.col("b"))).distinct())
-        now = mark(e)
-        if now == was:
-            break
-        was = now
-    return e.select(F.col("b").alias("node"), F.col("a").alias("root"))

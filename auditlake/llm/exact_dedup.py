@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stash, table, unused
 
-#: A text is hot at HOT_LEAST rows and one HOT_SHARE-th of all rows; so at most HOT_SHARE texts can be hot.
-HOT_LEAST, HOT_SHARE, SALTS = 2000, 400, 64
+#: A text is hot at HOT_LEAST rows and one HOT_SHARE-th of all rows; so at most HOT_SHARE texts can be hot, and are broadcast by hash.
+HOT_LEAST, HOT_SHARE, SALTS = 2000, 1 << 16, 64
 #: Characters of a splitter; Spark's sample of splitters goes to the driver, so these are bounded and a hash stands for the rest.
 HEAD = 64
 
@@ -24,7 +24,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts equal the empty text. Null ids sort lowest. Rows repeated under one id are each counted, and each
-    is kept if that id is the group's keep_id. An empty table gives an empty result; other columns are ignored.
+    is kept if that id is the group's keep_id. Texts of any length are compared whole. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     keep: "max" or "min", which id of a group stays.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
