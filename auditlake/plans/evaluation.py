@@ -94,7 +94,7 @@ def uncertainty(spark, sf_dir):
 
 def scene_rank(spark, sf_dir):
     """Scenes by mean uncertainty, ties by index."""
-    s = uncertainty(spark, sf_dir).groupBy((F.col("img") % SCENES).alias("scene")).agg(_r(F.avg("uncertainty"), "mean"))
+    s = uncertainty(spark, sf_dir).groupBy((F.col("img") % SCENES).alias("scene")).agg(_r(F.avg("uncertainty"), "mean", 5))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("mean"), "scene")).cast("long"))  # one row a scene
 
 
@@ -304,7 +304,7 @@ _TABLE = {
     "p15_rerank_features": (rerank_features, f"with {BOX_SQL}, n as (select cls, count(*) n from gt group by 1), f as (select pred, cls, ln(c / (1 - c)) l, ln(1 + coalesce(n, 0)) q from (select *, least(greatest(conf, 1e-6), 1 - 1e-6) c from pr) left join n using (cls)) select pred, round(l, 6) logit, round(q, 6) logn, round(l * q, 6) \"both\", " + ", ".join(f"(cls = {i})::int c{i}" for i in range(5)) + " from f"),
     "p16_class_thresholds": (class_thresholds, f"with {BOX_SQL}, n as (select cls, sum((conf >= 0.5)::int)::double n from pr group by 1), b as (select cls, n / (select max(n) from n) b from n) select cls, round(greatest(0.5 * b / (2 - b), 0.25), 6) threshold from b"),
     "p17_uncertainty": (uncertainty, f"with {_UNC} select img, uncertainty from u"),
-    "t5_scene_rank": (scene_rank, f"with {_UNC}, s as (select img % {SCENES} scene, round(avg(uncertainty), 6) mean from u group by 1) select scene, mean, row_number() over (order by mean desc, scene) rank from s"),
+    "t5_scene_rank": (scene_rank, f"with {_UNC}, s as (select img % {SCENES} scene, round(avg(uncertainty), 5) mean from u group by 1) select scene, mean, row_number() over (order by mean desc, scene) rank from s"),
     "p21_grid_cells": (grid_cells, f"with {BOX_SQL}, c as (select img, ix::int ix, iy::int iy, cls, row_number() over (partition by img, ix, iy order by (x2 - x1) * (y2 - y1), gt) r from gt, range(14) a(ix), range(14) b(iy) where ix * 40 + 20 >= x1 and ix * 40 + 20 < x2 and iy * 40 + 20 >= y1 and iy * 40 + 20 < y2) select img, ix, iy, cls from c where r = 1"),
     "j11_flip_fusion": (flip_fusion, f"with {BOX_SQL}, b as (select p.pred, p.conf, q.conf qc, row_number() over (partition by p.pred order by round({_PQ}, 12) desc, q.pred) r from pr p left join pr q on p.img = q.img and p.cls = q.cls and q.pred % 20 >= 10 and {_PQ} >= 0.5 where p.pred % 20 < 10) select pred, round(coalesce((conf + qc) / 2, 0.0), 6) score from b where r = 1"),
     "j12_click_boxes": (click_boxes, f"with {BOX_SQL}, s as (select cls, median(x2 - x1) mw, median(y2 - y1) mh from gt group by 1), g as (select gt, img, cls, (x1 + x2) / 2 cx, (y1 + y2) / 2 cy, mw, mh from gt join s using (cls)), b as (select g.*, p.pred, p.x1, p.y1, p.x2, p.y2, row_number() over (partition by gt order by p.conf desc, p.pred) r from g left join pr p on {_SAME} and cx between p.x1 and p.x2 and cy between p.y1 and p.y2) select gt, (pred is not null)::int detected, round(coalesce(x1, cx - mw / 2), 6) x1, round(coalesce(y1, cy - mh / 2), 6) y1, round(coalesce(x2, cx + mw / 2), 6) x2, round(coalesce(y2, cy + mh / 2), 6) y2 from b where r = 1"),
