@@ -15,7 +15,10 @@ SCENE, NEIGHBOURS = 0.40, 10
 #: Words of a run that documents and items are met on; items that are broadcast.
 WORDS, FEW_ITEMS = 4, 100_000
 _SPLIT = "case when vec_id % 20 < 14 then 'train' when vec_id % 20 < 17 then 'val' else 'test' end"
-_COS = "with e as (select vec_id, embedding, label, {s} split from embeddings), p as (select a.vec_id qid, b.vec_id bid, a.split qs, b.split bs, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) sim from e a, e b where a.vec_id <> b.vec_id)".format(s=_SPLIT)
+_COS = """with e as (select vec_id, embedding, label, {s} split from embeddings),
+      p as (select a.vec_id qid, b.vec_id bid, a.split qs, b.split bs, list_dot_product(a.embedding::double[],
+        b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[],
+        b.embedding::double[])) sim from e a, e b where a.vec_id <> b.vec_id)""".format(s=_SPLIT)
 _KNN = _COS + ", k as (select *, row_number() over (partition by qid order by round(sim, 12) desc, bid) rank from p)"
 
 
@@ -206,34 +209,53 @@ _I, _P = iou_sql("g", "p"), iou_sql("p", "q")
 _INT = "(greatest(least(g.x2, p.x2) - greatest(g.x1, p.x1), 0.0) * greatest(least(g.y2, p.y2) - greatest(g.y1, p.y1), 0.0))"
 _MATCH = f"""{BOX_SQL}, j as (select g.gt, p.pred, {_I} iou from gt g join pr p on g.img = p.img and g.cls = p.cls where {_I} >= 0.5),
 b as (select *, row_number() over (partition by pred order by round(iou, 12) desc, gt) r from j), m as (select *, row_number() over (partition by gt order by pred) r2 from b where r = 1)"""
-_MISS = f"{BOX_SQL}, f as (select g.gt, coalesce(max(case when {_INT} > 0 then p.conf end), 0.0) conf from gt g left join pr p on g.img = p.img and g.cls = p.cls group by g.gt), c as (select t, round(avg(case when conf < t / 20::double then 1.0::double else 0.0 end), 6) miss from f, range(21) r(t) group by t)"
+_MISS = f"""{BOX_SQL}, f as (select g.gt, coalesce(max(case when {_INT} > 0 then p.conf end), 0.0) conf from gt g left join pr p on g.img = p.img and g.cls = p.cls group by g.gt),
+      c as (select t, round(avg(case when conf < t / 20::double then 1.0::double else 0.0 end), 6) miss from f, range(21) r(t) group by t)"""
 _EDGES = _KNN + f", ed as (select distinct least(qid, bid) a, greatest(qid, bid) b from k where rank <= {NEIGHBOURS} and sim >= {SCENE})"
-_GROUPS = _EDGES.replace("with e as", "with recursive e as", 1) + ", r as (select vec_id, vec_id root from e union select case when r.vec_id = ed.a then ed.b else ed.a end, r.root from r join ed on r.vec_id in (ed.a, ed.b)), gr as (select vec_id, min(root) group_id from r group by 1)"
+_GROUPS = _EDGES.replace("with e as", "with recursive e as", 1) + """, r as (select vec_id, vec_id root from e union select case when r.vec_id = ed.a then ed.b else ed.a end, r.root from r join ed on r.vec_id in (ed.a, ed.b)),
+      gr as (select vec_id, min(root) group_id from r group by 1)"""
 
 _TABLE = {
-    "leak_report": (leak_report, _KNN + f", l as (select distinct qid from k where rank <= {NEIGHBOURS} and sim >= {SCENE} and bs = 'train') select split, count(*) n, sum(case when qid is null then 0 else 1 end)::bigint leaked from e left join l on vec_id = qid where split <> 'train' group by split"),
+    "leak_report": (leak_report, _KNN + f""", l as (select distinct qid from k where rank <= {NEIGHBOURS} and sim >= {SCENE} and bs = 'train')
+      select split, count(*) n, sum(case when qid is null then 0 else 1 end)::bigint leaked from e left join l on vec_id = qid where split <> 'train' group by split"""),
     "j1_knn_join": (knn_join, _KNN + f" select qid, bid, rank, round(sim, 6) sim from k where rank <= {NEIGHBOURS}"),
     "j3_threshold_join": (threshold_join, _COS + f" select qid, bid, round(sim, 6) sim from p where qid < bid and sim >= {SCENE}"),
-    "j15_proximity": (proximity, _COS + ", s as (select p.*, row_number() over (partition by qid order by sim desc, bid) r from p join e x on x.vec_id = qid join e y on y.vec_id = bid where x.label = y.label and p.qs <> 'train' and p.bs = 'train') select e.vec_id, round(avg(sim), 6) proximity from e left join s on s.qid = e.vec_id and r <= 3 where e.split <> 'train' group by 1"),
+    "j15_proximity": (proximity, _COS + """, s as (select p.*, row_number() over (partition by qid order by sim desc, bid) r from p join e x on x.vec_id = qid join e y on y.vec_id = bid
+        where x.label = y.label and p.qs <> 'train' and p.bs = 'train')
+      select e.vec_id, round(avg(sim), 6) proximity from e left join s on s.qid = e.vec_id and r <= 3 where e.split <> 'train' group by 1"""),
     "g2_scene_groups": (scene_groups, _GROUPS + " select vec_id, group_id from gr"),
     "a13_scene_counts": (scene_counts, _GROUPS + " select label, count(distinct group_id) scenes, count(*) vectors from gr join e using (vec_id) group by label"),
-    "a24_split_report": (split_report, f"with e as (select {_SPLIT} split, label from embeddings) select split, label, count(e2.l) n from (select distinct split from e) cross join (select distinct label from e) left join (select split s, label l from e) e2 on e2.s = split and e2.l = label group by 1, 2"),
-    "j10_best_overlap": (best_overlap, f"with {BOX_SQL} select g.gt, round(coalesce(max(case when g.cls = p.cls then {_I} end), 0.0), 6) same, round(coalesce(max({_I}), 0.0), 6) \"any\" from gt g left join pr p on g.img = p.img group by 1"),
+    "a24_split_report": (split_report, f"""with e as (select {_SPLIT} split, label from embeddings)
+      select split, label, count(e2.l) n from (select distinct split from e) cross join (select distinct label from e) left join (select split s, label l
+        from e) e2 on e2.s = split and e2.l = label group by 1, 2"""),
+    "j10_best_overlap": (best_overlap, f"""with {BOX_SQL} select g.gt, round(coalesce(max(case when g.cls = p.cls then {_I} end), 0.0), 6) same, round(coalesce(max({_I}), 0.0), 6) \"any\" from gt g left
+        join pr p on g.img = p.img group by 1"""),
     "j8_unique_match": (unique_match, f"with {_MATCH} select gt, pred, round(iou, 6) iou from m where r2 = 1"),
     "a2_class_ap": (class_ap, f"""with {_MATCH}, fl as (select p.cls, p.pred, p.conf, case when m.gt is null then 0 else 1 end tp from pr p left join (select * from m where r2 = 1) m using (pred) where p.img in (select img from gt)),
 n as (select cls, count(*) n from gt group by 1), rn as (select fl.cls, n.n, sum(tp) over w / n.n::double rec, sum(tp) over w / (row_number() over w)::double prec, row_number() over w k from fl join n using (cls) window w as (partition by fl.cls order by conf desc, pred)),
 ev as (select *, max(prec) over (partition by cls order by k rows between current row and unbounded following) env from rn), gd as (select cls, i * 0.01::double x from n, range(101) t(i)),
 pt as (select gd.cls, gd.x, coalesce(max(env), 0.0) env from gd left join ev on ev.cls = gd.cls and ev.rec >= gd.x group by 1, 2) select n.cls, n.n, round(sum(env) / 101, 6) ap from n join pt using (cls) group by 1, 2"""),
-    "j17_consensus": (consensus, f"with {BOX_SQL} select p.pred, round(any_value(p.conf) + 0.1::double * sum(case when p.pred <> q.pred and {_P} >= 0.5 then q.conf else 0.0 end), 6) score from pr p join pr q on p.img = q.img group by 1"),
-    "a11_error_anatomy": (error_anatomy, f"with {BOX_SQL}, s as (select g.gt, g.cls, max(case when {_I} >= 0.5 and g.cls = p.cls then 2 when {_I} >= 0.5 then 1 else 0 end) s from gt g left join pr p on g.img = p.img group by 1, 2) select cls, count(*) n, sum((s = 2)::int)::bigint hit, sum((s = 1)::int)::bigint other_class, sum((s = 0)::int)::bigint no_box from s group by 1"),
-    "f5_false_alarms": (false_alarms, f"with {BOX_SQL}, s as (select p.pred, p.conf, coalesce(max({_I}), 0.0) best, coalesce(sum({_INT} / ((p.x2 - p.x1) * (p.y2 - p.y1) + 1e-9)), 0.0) cover from pr p left join gt g on g.img = p.img and g.cls = 0 group by 1, 2) select pred, round(conf, 6) conf from s where best < 0.1 and cover < 0.5"),
-    "a17_box_stats": (box_stats, f"with {BOX_SQL} select cls, count(*) n, count(distinct img) images, round(avg(ln((x2 - x1) * (y2 - y1))), 6) log_area, round(avg(ln((x2 - x1) / (y2 - y1))), 6) log_aspect, round(median((x2 - x1) * (y2 - y1)), 6) median_area from gt group by 1"),
+    "j17_consensus": (consensus, f"""with {BOX_SQL} select p.pred, round(any_value(p.conf) + 0.1::double * sum(case when p.pred <> q.pred and {_P} >= 0.5 then q.conf else 0.0 end), 6) score
+        from pr p join pr q on p.img = q.img group by 1"""),
+    "a11_error_anatomy": (error_anatomy, f"""with {BOX_SQL}, s as (select g.gt, g.cls, max(case when {_I} >= 0.5 and g.cls = p.cls then 2 when {_I} >= 0.5 then 1 else 0 end) s from gt g left
+        join pr p on g.img = p.img group by 1, 2)
+      select cls, count(*) n, sum((s = 2)::int)::bigint hit, sum((s = 1)::int)::bigint other_class, sum((s = 0)::int)::bigint no_box from s group by 1"""),
+    "f5_false_alarms": (false_alarms, f"""with {BOX_SQL}, s as (select p.pred, p.conf, coalesce(max({_I}), 0.0) best, coalesce(sum({_INT} / ((p.x2 - p.x1) * (p.y2 - p.y1) + 1e-9)), 0.0) cover
+        from pr p left join gt g on g.img = p.img and g.cls = 0 group by 1, 2)
+      select pred, round(conf, 6) conf from s where best < 0.1 and cover < 0.5"""),
+    "a17_box_stats": (box_stats, f"""with {BOX_SQL} select cls, count(*) n, count(distinct img) images, round(avg(ln((x2 - x1) * (y2 - y1))), 6) log_area, round(avg(ln((x2 - x1) / (y2 - y1))),
+        6) log_aspect, round(median((x2 - x1) * (y2 - y1)), 6) median_area from gt group by 1"""),
     "a16_miss_curve": (miss_curve, f"with {_MISS} select t::integer t, miss from c"),
-    "e8_conformal": (conformal_threshold, f"with {_MISS}, n as (select count(*) n from gt), b as (select t, (n * miss + 1) / (n + 1) > 0.1 bad from c, n) select coalesce(greatest(min(case when bad then t end) - 1, 0), max(t)) t from b"),
-    "a12_status_crosstab": (status_crosstab, "with s as (select source, case when quality is null then 'none' when toxic = 1 then 'toxic' when quality = 1 then 'kept' else 'low' end st from documents left join labels using (doc_id)) select case when grouping(source) = 1 then 'all' else coalesce(source, '(null)') end source, " + ", ".join(f"sum((st = '{x}')::int)::bigint as \"{x}\"" for x in ("kept", "low", "toxic", "none")) + " from s group by rollup (source)"),
+    "e8_conformal": (conformal_threshold, f"""with {_MISS}, n as (select count(*) n from gt),
+      b as (select t, (n * miss + 1) / (n + 1) > 0.1 bad from c, n)
+      select coalesce(greatest(min(case when bad then t end) - 1, 0), max(t)) t from b"""),
+    "a12_status_crosstab": (status_crosstab, """with s as (select source, case when quality is null then 'none' when toxic = 1 then 'toxic' when quality = 1 then 'kept' else 'low' end st from documents left
+        join labels using (doc_id))
+      select case when grouping(source) = 1 then 'all' else coalesce(source, '(null)') end source, """ + ", ".join(f"sum((st = '{x}')::int)::bigint as \"{x}\"" for x in ("kept", "low", "toxic", "none")) + " from s group by rollup (source)"),
     "p11_provenance_key": (provenance_key, r"select page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://(www\.|m\.)?', ''), '[?#].*$', ''), '/+$', '') as key from pages"),
     "g5_contained_benchmark": (contained_benchmark, "select item_id, count(*) documents, min(doc_id) first_doc from documents d join benchmark b on contains(d.text, b.text) group by 1"),
-    "w5_tie_ranks": (tie_ranks, "select o_custkey, o_orderkey, round(rank() over (partition by o_custkey order by p) + (count(*) over (partition by o_custkey, p) - 1) / 2, 6) average_rank, row_number() over (partition by o_custkey order by p, o_orderkey) ordinal_rank from (select o_custkey, o_orderkey, round(o_totalprice, -4) p from orders)"),
+    "w5_tie_ranks": (tie_ranks, """select o_custkey, o_orderkey, round(rank() over (partition by o_custkey order by p) + (count(*) over (partition by o_custkey, p) - 1) / 2, 6) average_rank,
+        row_number() over (partition by o_custkey order by p, o_orderkey) ordinal_rank from (select o_custkey, o_orderkey, round(o_totalprice, -4) p from orders)"""),
     "w6_first_copy": (first_copy, "select sha256(text) sha, min(doc_id) first_doc, count(*) copies from documents group by 1 having count(*) > 1"),
     "i3_day_counters": (day_counters, "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) n from events group by 1, 2"),
     "r12_sample_weights": (sample_weights, "select doc_id, round(1 / count(*) over (partition by lang), 9) weight from documents"),

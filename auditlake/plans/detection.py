@@ -246,7 +246,9 @@ def _greedy_sql(name: str, pr: str = "pr", gt: str = "gt", levels: int = 10) ->
 
 
 _GREEDY = f"with recursive {BOX_SQL}, {_greedy_sql('m')}"
-_FLAGS = f"{_GREEDY.replace('range(10)', 'range(1)')}, n as (select cls, count(*) n from gt group by 1), fl as (select p.img, p.cls, p.pred, p.conf, (m.pred is not null)::int tp from pr p left join (select pred from ms where pick is not null) m using (pred) where p.img in (select img from gt))"
+_FLAGS = f"""{_GREEDY.replace('range(10)', 'range(1)')}, n as (select cls, count(*) n from gt group by 1),
+      fl as (select p.img, p.cls, p.pred, p.conf, (m.pred is not null)::int tp from pr p left join (select pred from ms where pick is not null) m using (pred)
+        where p.img in (select img from gt))"""
 _TOLERANT = f"""with recursive {BOX_SQL}, tj as materialized (select p.img, p.cls, p.pred, p.conf, g.gt, round({_I}, 12) iou, round({_INT} / ({_AREA('g')} + 1e-9), 12) lin, round({_INT} / ({_AREA('p')} + 1e-9), 12) pin, g.x1, g.y1, g.x2, g.y2, p.x1 a1, p.y1 b1, p.x2 a2, p.y2 b2
   from gt g join pr p on {_SAME} where {_INT} > 0),
 tc as materialized (select *, row_number() over (partition by img, cls order by conf desc, pred) k from (select img, cls, pred, any_value(conf) conf, any_value(a1) a1, any_value(b1) b1, any_value(a2) a2, any_value(b2) b2,
@@ -264,7 +266,9 @@ def _grid_sql(rows: str, by: str = "cls") -> str:
     """Tables for the 101-point mean of rows ({by}, rec, prec): a({by}, ap). Groups come from n."""
     on = " and ".join(f"q.{c.strip()} = n.{c.strip()}" for c in by.split(","))
     keys = ", ".join(f"n.{c.strip()}" for c in by.split(","))
-    return f"q as ({rows}), v as (select {keys}, x, coalesce(max(prec), 0.0) v from n cross join range(101) g(x) left join q on {on} and q.rec >= x * 0.01::double group by all), a as (select {by}, sum(v) / 101 ap from v group by all)"
+    return f"""q as ({rows}),
+      v as (select {keys}, x, coalesce(max(prec), 0.0) v from n cross join range(101) g(x) left join q on {on} and q.rec >= x * 0.01::double group by all),
+      a as (select {by}, sum(v) / 101 ap from v group by all)"""
 
 
 def _weighted_sql(flags: str, gt: str, groups: int, step: int, unit: str, salt: int = 0, plus: int = 0, tag: str = "") -> str:
@@ -277,7 +281,8 @@ def _weighted_sql(flags: str, gt: str, groups: int, step: int, unit: str, salt:
 
 
 _PARTS = [
-    (k, salt, _greedy_sql(f"{t}{k}x", "pr" if t == "u" else "pb", f"gt{k}", 1), f"{t}{k}f as (select p.img, p.cls, p.pred, p.conf, (m.pred is not null)::int tp from {'pr' if t == 'u' else 'pb'} p left join (select pred from {t}{k}xs where pick is not null) m using (pred) where p.img in (select img from gt{k}))", t)
+    (k, salt, _greedy_sql(f"{t}{k}x", "pr" if t == "u" else "pb", f"gt{k}", 1), f"""{t}{k}f as (select p.img, p.cls, p.pred, p.conf, (m.pred is not null)::int tp from {'pr' if t == 'u' else 'pb'} p left join (select pred from {t}{k}xs
+        where pick is not null) m using (pred) where p.img in (select img from gt{k}))""", t)
     for k, salt in ((0, 0), (4, 50))
     for t in "ub"
 ]
@@ -291,25 +296,38 @@ _CENTRED = lambda t: f"ix * {CELL} + {CELL / 2} between {t}.x1 and {t}.x2 and iy
 _EDGE = lambda c, lo, hi: f"trunc(least(greatest((g.{c} - p.{lo}) * {FINE} / (p.{hi} - p.{lo}), 0), {FINE}))::int"
 
 _TABLE = {
-    "j7_greedy_match": (greedy_match, f"{_GREEDY}, h as (select pred, count(*) hits, max((i = 0)::int) tp50 from ms where pick is not null group by 1) select pred, coalesce(hits, 0) hits, coalesce(tp50, 0) tp50 from pr left join h using (pred) where img in (select img from gt)"),
+    "j7_greedy_match": (greedy_match, f"""{_GREEDY}, h as (select pred, count(*) hits, max((i = 0)::int) tp50 from ms where pick is not null group by 1)
+      select pred, coalesce(hits, 0) hits, coalesce(tp50, 0) tp50 from pr left join h using (pred) where img in (select img from gt)"""),
     "j19_suppression": (suppression, f"""with recursive {BOX_SQL}, o as materialized (select *, row_number() over (partition by img, cls order by conf desc, pred) k from pr),
 e as materialized (select p.img, p.cls, p.k, p.pred, coalesce(list(q.pred) filter (where round({iou_sql('p', 'q')}, 12) > 0.5), []) nb from o p left join o q on p.img = q.img and p.cls = q.cls and q.k < p.k group by 1, 2, 3, 4),
 s(img, cls, k, pred, kept, ok) as (select distinct img, cls, 0::bigint, null::bigint, []::bigint[], false from e union all select img, cls, k, pred, case when ok then list_append(kept, pred) else kept end, ok from (select s.img, s.cls, e.k, e.pred, s.kept, not list_has_any(s.kept, e.nb) ok from s join e on e.img = s.img and e.cls = s.cls and e.k = s.k + 1)),
 r as (select pred, row_number() over (partition by pr.img order by conf desc, pred) r from pr join (select pred from s where ok) using (pred)) select pred from r where r <= {TOP}"""),
     "j9_tolerant_match": (tolerant_match, f"{_TOLERANT} select pred, len(won) weight, (len(won) > 0)::bigint tp, keep::bigint keep from ts where k > 0"),
-    "a4_weighted_ap": (weighted_ap, f"{_TOLERANT}, {_N}, f as (select p.cls, p.pred, p.conf, coalesce(len(won), 0) weight, coalesce(len(won) > 0, false)::int tp from pr p left join (select * from ts where k > 0) t using (pred) where p.img in (select img from gt) and coalesce(keep, 1) = 1), " + _grid_sql("select f.cls, sum(weight) over w / n::double rec, sum(tp) over w / (row_number() over w)::double prec from f join n using (cls) window w as (partition by f.cls order by conf desc, pred)") + " select cls, n, round(ap, 6) ap from a join n using (cls)"),
+    "a4_weighted_ap": (weighted_ap, f"""{_TOLERANT}, {_N}, f as (select p.cls, p.pred, p.conf, coalesce(len(won), 0) weight, coalesce(len(won) > 0, false)::int tp from pr p left join (select *
+        from ts where k > 0) t using (pred) where p.img in (select img from gt) and coalesce(keep, 1) = 1), """ + _grid_sql("""select f.cls, sum(weight) over w / n::double rec, sum(tp) over w / (row_number() over w)::double prec from f
+        join n using (cls) window w as (partition by f.cls order by conf desc, pred)""") + " select cls, n, round(ap, 6) ap from a join n using (cls)"),
     "a5_image_weighted_ap": (image_weighted_ap, f"{_FLAGS}, {_weighted_sql('fl', 'gt', 100, 4, 'img', tag='z')} select rep, round(map50, 6) map50 from zr"),
-    "r8_image_interval": (image_interval, f"{_FLAGS}, {_weighted_sql('fl', 'gt', 100, 4, 'img', tag='z')} select count(*) reps, round(avg(map50), 6) mean, round(quantile_cont(map50, 0.025), 6) low, round(quantile_cont(map50, 0.975), 6) high from zr"),
-    "r7_scene_interval": (scene_interval, f"{_FLAGS}, {_weighted_sql('fl', 'gt', 10, 4, f'img % {SCENES}', tag='z')} select count(*) reps, round(avg(map50), 6) mean, round(quantile_cont(map50, 0.025), 6) low, round(quantile_cont(map50, 0.975), 6) high from zr"),
-    "r9_interaction": (interaction, f"{_INTERACTION}, z as (select rep, round(a.map50 - b.map50, 12) d0, round(c.map50 - d.map50, 12) d4 from u0r a join b0r b using (rep) join u4r c using (rep) join b4r d using (rep)) select round(avg(d0), 6) gain_a, round(avg(d4), 6) gain_b, round(avg(d0 - d4), 6) interaction, round(avg((d0 - d4 > 0)::int), 6) p_positive from z"),
+    "r8_image_interval": (image_interval, f"""{_FLAGS}, {_weighted_sql('fl', 'gt', 100, 4, 'img', tag='z')} select count(*) reps, round(avg(map50), 6) mean, round(quantile_cont(map50, 0.025), 6) low,
+        round(quantile_cont(map50, 0.975), 6) high from zr"""),
+    "r7_scene_interval": (scene_interval, f"""{_FLAGS}, {_weighted_sql('fl', 'gt', 10, 4, f'img % {SCENES}', tag='z')} select count(*) reps, round(avg(map50), 6) mean, round(quantile_cont(map50, 0.025), 6) low,
+        round(quantile_cont(map50, 0.975), 6) high from zr"""),
+    "r9_interaction": (interaction, f"""{_INTERACTION}, z as (select rep, round(a.map50 - b.map50, 12) d0, round(c.map50 - d.map50, 12) d4 from u0r a join b0r b using (rep) join u4r c using (rep)
+        join b4r d using (rep))
+      select round(avg(d0), 6) gain_a, round(avg(d4), 6) gain_b, round(avg(d0 - d4), 6) interaction, round(avg((d0 - d4 > 0)::int), 6) p_positive from z"""),
     "a6_trapezoid_ap": (trapezoid_ap, f"""{_FLAGS}, k as (select fl.cls, row_number() over w kk, sum(tp) over w / n::double rec, sum(tp) over w / (row_number() over w)::double prec from fl join n using (cls) window w as (partition by fl.cls order by conf desc, pred)),
 m as (select cls, 0 kk, 0.0::double rec, 1.0::double prec from n union all select cls, kk, rec, prec from k union all select cls, 1000000000, 1.0, 0.0 from n), e as (select cls, kk, rec, max(prec) over (partition by cls order by kk desc rows unbounded preceding) env from m),
 l as (select *, lead(rec) over (partition by cls order by kk) nr, lead(env) over (partition by cls order by kk) ne from e), y as (select cls, x, case when nr is null then env else env + (x * 0.01::double - rec) / (nr - rec) * (ne - env) end y from l, range(101) g(x) where rec <= x * 0.01::double and (nr is null or x * 0.01::double < nr))
 select cls, round(sum(y * case when x in (0, 100) then 0.005::double else 0.01::double end), 5) ap from y group by 1"""),
     "a7_region_ap": (region_ap, f"""with {BOX_SQL}, {_N}, gc as (select distinct img, cls, ix, iy from gt, range(25) a(ix), range(25) b(iy) where {_ROUNDED('gt')}), pc as (select img, cls, ix, iy, floor(max(conf) * 20) t from pr, range(25) a(ix), range(25) b(iy) where {_ROUNDED('pr')} group by 1, 2, 3, 4),
 lab as (select cls, count(*) lab from gc group by 1), s as (select c.cls, k, count(pc.img) p, count(gc.img) i from lab c cross join range(20) t(k) left join pc on pc.cls = c.cls and pc.t >= k left join gc on gc.img = pc.img and gc.cls = pc.cls and gc.ix = pc.ix and gc.iy = pc.iy group by 1, 2), """ + _grid_sql("select s.cls, i / lab::double rec, case when p > 0 then i / p::double else 1.0 end prec from s join lab using (cls)") + " select cls, round(ap, 6) ap from a"),
-    "a8_region_f1": (region_f1, f"with {BOX_SQL}, gc as (select distinct img, cls, ix, iy, 1 g from gt, range(25) a(ix), range(25) b(iy) where {_CENTRED('gt')}), pc as (select distinct img, cls, ix, iy, 1 p from pr, range(25) a(ix), range(25) b(iy) where conf >= {SURE} and {_CENTRED('pr')}), c as (select img, cls, 2 * count(case when g = 1 and p = 1 then 1 end) / (count(g) + count(p))::double f from gc full join pc using (img, cls, ix, iy) group by 1, 2) select img, round(avg(f), 6) f1 from c group by 1"),
-    "a9_histogram_ap": (histogram_ap, f"{_FLAGS}, b as (select cls, least(floor(round((greatest(ln(greatest(conf, 1e-30)), -8.0) + 8) / 8 * 100, 9)), 99) bin, sum(tp) tp, count(*) n from fl group by 1, 2), x as (select cls, sum(tp) over w / sum(n) over w * tp / sum(tp) over (partition by cls) x from b window w as (partition by cls order by bin desc)) select cls, round(sum(x), 6) ap from x group by 1"),
+    "a8_region_f1": (region_f1, f"""with {BOX_SQL}, gc as (select distinct img, cls, ix, iy, 1 g from gt, range(25) a(ix), range(25) b(iy) where {_CENTRED('gt')}),
+      pc as (select distinct img, cls, ix, iy, 1 p from pr, range(25) a(ix), range(25) b(iy) where conf >= {SURE} and {_CENTRED('pr')}),
+      c as (select img, cls, 2 * count(case when g = 1 and p = 1 then 1 end) / (count(g) + count(p))::double f from gc full join pc using (img, cls, ix,
+        iy) group by 1, 2)
+      select img, round(avg(f), 6) f1 from c group by 1"""),
+    "a9_histogram_ap": (histogram_ap, f"""{_FLAGS}, b as (select cls, least(floor(round((greatest(ln(greatest(conf, 1e-30)), -8.0) + 8) / 8 * 100, 9)), 99) bin, sum(tp) tp, count(*) n from fl group by 1, 2),
+      x as (select cls, sum(tp) over w / sum(n) over w * tp / sum(tp) over (partition by cls) x from b window w as (partition by cls order by bin desc))
+      select cls, round(sum(x), 6) ap from x group by 1"""),
     "a11_anatomy": (anatomy, f"""with {BOX_SQL}, o as (select *, row_number() over (partition by img order by conf desc, pred) place from pr), nr as (select g.gt, g.cls = p.cls same, p.cls pc, p.conf, p.place from gt g join o p on g.img = p.img and {_I} >= 0.5),
 b as (select gt, max(conf) s, min(place) place from nr where same group by 1), rk as (select gt, 1 + count(distinct pc) rk from nr join b using (gt) where conf > s group by 1), rw as (select gt.cls, s, b.place, rk, case when s >= {SURE} then 'hit' when s is not null then 'low' when gt.gt in (select gt from nr) then 'other' else 'none' end o from gt left join b using (gt) left join rk using (gt))
 select cls, count(*) n, """ + ", ".join(f"sum((o = '{x}')::int)::bigint \"{x}\"" for x in ("hit", "low", "other", "none")) + f", round(avg(coalesce((place <= {TOP})::int, 0)), 6) in_top, round(median(case when s < {SURE} then s end), 6) low_score, round(median(case when s < {SURE} then coalesce(rk, 1) end), 6) low_rank from rw group by 1"),

@@ -295,38 +295,88 @@ dr as (select rep, ((rep * 7919 + j * 104729 + rep * j * 31) % 9973) % {SCENES}
 rc as (select rep, cls, sum(hit) / count(*)::double recall from hit join dr on hit.img % {SCENES} = dr.scene group by 1, 2)"""
 
 _TABLE = {
-    "p4_centre_rows": (centre_rows, f"with {BOX_SQL}, c as (select gt, x1, y1, least(x2, {SIDE}) x2, least(y2, {SIDE}) y2 from gt) select gt, round((x1 + x2) / {2 * SIDE}, 6) cx, round((y1 + y2) / {2 * SIDE}, 6) cy, round((x2 - x1) / {SIDE}, 6) w, round((y2 - y1) / {SIDE}, 6) h from c where x2 - x1 >= 1 and y2 - y1 >= 1"),
-    "p5_scaled_boxes": (scaled_boxes, f"with {BOX_SQL} select gt, round(x1 * 1.25 - x2 * 0.25, 6) sx1, round(y1 * 1.25 - y2 * 0.25, 6) sy1, round(x2 * 1.25 - x1 * 0.25, 6) sx2, round(y2 * 1.25 - y1 * 0.25, 6) sy2, {SIDE} - x2 m1, {SIDE} - x1 m2 from gt"),
-    "p6_affine_hull": (affine_hull, f"with {BOX_SQL} select gt, round(0.9 * x1 - 0.2 * y2 + 30, 6) hx1, round(0.2 * x1 + 0.9 * y1 - 12, 6) hy1, round(0.9 * x2 - 0.2 * y1 + 30, 6) hx2, round(0.2 * x2 + 0.9 * y2 - 12, 6) hy2 from gt"),
+    "p4_centre_rows": (centre_rows, f"""with {BOX_SQL}, c as (select gt, x1, y1, least(x2, {SIDE}) x2, least(y2, {SIDE}) y2 from gt)
+      select gt, round((x1 + x2) / {2 * SIDE}, 6) cx, round((y1 + y2) / {2 * SIDE}, 6) cy, round((x2 - x1) / {SIDE}, 6) w, round((y2 - y1) / {SIDE}, 6) h
+        from c where x2 - x1 >= 1 and y2 - y1 >= 1"""),
+    "p5_scaled_boxes": (scaled_boxes, f"""with {BOX_SQL} select gt, round(x1 * 1.25 - x2 * 0.25, 6) sx1, round(y1 * 1.25 - y2 * 0.25, 6) sy1, round(x2 * 1.25 - x1 * 0.25, 6) sx2,
+        round(y2 * 1.25 - y1 * 0.25, 6) sy2, {SIDE} - x2 m1, {SIDE} - x1 m2 from gt"""),
+    "p6_affine_hull": (affine_hull, f"""with {BOX_SQL} select gt, round(0.9 * x1 - 0.2 * y2 + 30, 6) hx1, round(0.2 * x1 + 0.9 * y1 - 12, 6) hy1, round(0.9 * x2 - 0.2 * y1 + 30, 6) hx2,
+        round(0.2 * x2 + 0.9 * y2 - 12, 6) hy2 from gt"""),
     "p8_axis_angle": (axis_angle, f"with {BOX_SQL}, a as (select gt, degrees(atan2(y1 - {SIDE / 2}, x1 - {SIDE / 2})) + 360 d from gt) select gt, round(least(d % 90, 90 - d % 90), 6) degrees from a"),
-    "p9_overlaps": (overlaps, f"with {BOX_SQL} select g.gt a, p.gt b from gt g join gt p on g.img = p.img and g.gt < p.gt where {_GP} > 0.1::double * least((g.x2 - g.x1) * (g.y2 - g.y1), (p.x2 - p.x1) * (p.y2 - p.y1))"),
-    "p14_class_probs": (class_probs, f"with {BOX_SQL}, b as (select img, cls, max(conf) conf from pr group by 1, 2), e as (select *, exp(10 * conf) / sum(exp(10 * conf)) over (partition by img) p from b) select img, cls, round(p, 6) p, round(sqrt(conf * p), 6) score from e"),
-    "p15_rerank_features": (rerank_features, f"with {BOX_SQL}, n as (select cls, count(*) n from gt group by 1), f as (select pred, cls, ln(c / (1 - c)) l, ln(1 + coalesce(n, 0)) q from (select *, least(greatest(conf, 1e-6), 1 - 1e-6) c from pr) left join n using (cls)) select pred, round(l, 6) logit, round(q, 6) logn, round(l * q, 6) \"both\", " + ", ".join(f"(cls = {i})::int c{i}" for i in range(5)) + " from f"),
-    "p16_class_thresholds": (class_thresholds, f"with {BOX_SQL}, n as (select cls, sum((conf >= 0.5)::int)::double n from pr group by 1), b as (select cls, n / (select max(n) from n) b from n) select cls, round(greatest(0.5 * b / (2 - b), 0.25), 6) threshold from b"),
+    "p9_overlaps": (overlaps, f"""with {BOX_SQL} select g.gt a, p.gt b from gt g join gt p on g.img = p.img and g.gt < p.gt where {_GP} > 0.1::double * least((g.x2 - g.x1) * (g.y2 - g.y1),
+        (p.x2 - p.x1) * (p.y2 - p.y1))"""),
+    "p14_class_probs": (class_probs, f"""with {BOX_SQL}, b as (select img, cls, max(conf) conf from pr group by 1, 2),
+      e as (select *, exp(10 * conf) / sum(exp(10 * conf)) over (partition by img) p from b)
+      select img, cls, round(p, 6) p, round(sqrt(conf * p), 6) score from e"""),
+    "p15_rerank_features": (rerank_features, f"""with {BOX_SQL}, n as (select cls, count(*) n from gt group by 1),
+      f as (select pred, cls, ln(c / (1 - c)) l, ln(1 + coalesce(n, 0)) q from (select *, least(greatest(conf, 1e-6), 1 - 1e-6) c from pr) left join n using (cls))
+      select pred, round(l, 6) logit, round(q, 6) logn, round(l * q, 6) \"both\", """ + ", ".join(f"(cls = {i})::int c{i}" for i in range(5)) + " from f"),
+    "p16_class_thresholds": (class_thresholds, f"""with {BOX_SQL}, n as (select cls, sum((conf >= 0.5)::int)::double n from pr group by 1),
+      b as (select cls, n / (select max(n) from n) b from n)
+      select cls, round(greatest(0.5 * b / (2 - b), 0.25), 6) threshold from b"""),
     "p17_uncertainty": (uncertainty, f"with {_UNC} select img, uncertainty from u"),
-    "t5_scene_rank": (scene_rank, f"with {_UNC}, s as (select img % {SCENES} scene, round(avg(uncertainty), 5) mean from u group by 1) select scene, mean, row_number() over (order by mean desc, scene) rank from s"),
-    "p21_grid_cells": (grid_cells, f"with {BOX_SQL}, c as (select img, ix::int ix, iy::int iy, cls, row_number() over (partition by img, ix, iy order by (x2 - x1) * (y2 - y1), gt) r from gt, range(14) a(ix), range(14) b(iy) where ix * 40 + 20 >= x1 and ix * 40 + 20 < x2 and iy * 40 + 20 >= y1 and iy * 40 + 20 < y2) select img, ix, iy, cls from c where r = 1"),
-    "j11_flip_fusion": (flip_fusion, f"with {BOX_SQL}, b as (select p.pred, p.conf, q.conf qc, row_number() over (partition by p.pred order by round({_PQ}, 12) desc, q.pred) r from pr p left join pr q on p.img = q.img and p.cls = q.cls and q.pred % 20 >= 10 and {_PQ} >= 0.5 where p.pred % 20 < 10) select pred, round(coalesce((conf + qc) / 2, 0.0), 6) score from b where r = 1"),
-    "j12_click_boxes": (click_boxes, f"with {BOX_SQL}, s as (select cls, median(x2 - x1) mw, median(y2 - y1) mh from gt group by 1), g as (select gt, img, cls, (x1 + x2) / 2 cx, (y1 + y2) / 2 cy, mw, mh from gt join s using (cls)), b as (select g.*, p.pred, p.x1, p.y1, p.x2, p.y2, row_number() over (partition by gt order by p.conf desc, p.pred) r from g left join pr p on {_SAME} and cx between p.x1 and p.x2 and cy between p.y1 and p.y2) select gt, (pred is not null)::int detected, round(coalesce(x1, cx - mw / 2), 6) x1, round(coalesce(y1, cy - mh / 2), 6) y1, round(coalesce(x2, cx + mw / 2), 6) x2, round(coalesce(y2, cy + mh / 2), 6) y2 from b where r = 1"),
-    "a1_class_deficit": (class_deficit, f"with {BOX_SQL}, n as (select cls, count(*) n from gt group by 1) select cls, n, least(greatest((select median(n) from n) - n, 0.0), n::double) deficit from n"),
-    "a3_mean_ap": (mean_ap, f"with {_FLAGS.format(levels=10)}, q as (select k.cls, i, kk, tps / n::double rec, tps / kk::double prec from k join n using (cls)), e as (select cls, i, rec, max(prec) over (partition by cls, i order by kk desc rows unbounded preceding) env from q), v as (select n.cls, t.i, x, coalesce(max(env), 0.0) v from n cross join t cross join range(101) g(x) left join e on e.cls = n.cls and e.i = t.i and e.rec >= x * 0.01::double group by 1, 2, 3), a as (select cls, i, sum(v) / 101 ap from v group by 1, 2) select cls, round(avg(ap), 6) map, round(max(case when i = 0 then ap end), 6) ap50 from a group by 1"),
-    "a10_operating_point": (operating_point, f"with {_FLAGS.format(levels=1)}, f as (select cls, conf, kk, round(2 * tps / (kk + n)::double, 12) f1 from k join n using (cls)), r as (select *, row_number() over (partition by cls order by f1 desc, kk) r from f) select cls, round(f1, 6) f1, round(conf, 6) conf from r where r = 1"),
+    "t5_scene_rank": (scene_rank, f"""with {_UNC}, s as (select img % {SCENES} scene, round(avg(uncertainty), 5) mean from u group by 1)
+      select scene, mean, row_number() over (order by mean desc, scene) rank from s"""),
+    "p21_grid_cells": (grid_cells, f"""with {BOX_SQL}, c as (select img, ix::int ix, iy::int iy, cls, row_number() over (partition by img, ix, iy order by (x2 - x1) * (y2 - y1), gt) r from gt,
+        range(14) a(ix), range(14) b(iy) where ix * 40 + 20 >= x1 and ix * 40 + 20 < x2 and iy * 40 + 20 >= y1 and iy * 40 + 20 < y2)
+      select img, ix, iy, cls from c where r = 1"""),
+    "j11_flip_fusion": (flip_fusion, f"""with {BOX_SQL}, b as (select p.pred, p.conf, q.conf qc, row_number() over (partition by p.pred order by round({_PQ}, 12) desc, q.pred) r from pr p left
+        join pr q on p.img = q.img and p.cls = q.cls and q.pred % 20 >= 10 and {_PQ} >= 0.5 where p.pred % 20 < 10)
+      select pred, round(coalesce((conf + qc) / 2, 0.0), 6) score from b where r = 1"""),
+    "j12_click_boxes": (click_boxes, f"""with {BOX_SQL}, s as (select cls, median(x2 - x1) mw, median(y2 - y1) mh from gt group by 1),
+      g as (select gt, img, cls, (x1 + x2) / 2 cx, (y1 + y2) / 2 cy, mw, mh from gt join s using (cls)),
+      b as (select g.*, p.pred, p.x1, p.y1, p.x2, p.y2, row_number() over (partition by gt order by p.conf desc, p.pred) r from g left join pr p on {_SAME}
+        and cx between p.x1 and p.x2 and cy between p.y1 and p.y2)
+      select gt, (pred is not null)::int detected, round(coalesce(x1, cx - mw / 2), 6) x1, round(coalesce(y1, cy - mh / 2), 6) y1, round(coalesce(x2, cx + mw / 2),
+        6) x2, round(coalesce(y2, cy + mh / 2), 6) y2 from b where r = 1"""),
+    "a1_class_deficit": (class_deficit, f"""with {BOX_SQL}, n as (select cls, count(*) n from gt group by 1)
+      select cls, n, least(greatest((select median(n) from n) - n, 0.0), n::double) deficit from n"""),
+    "a3_mean_ap": (mean_ap, f"""with {_FLAGS.format(levels=10)}, q as (select k.cls, i, kk, tps / n::double rec, tps / kk::double prec from k join n using (cls)),
+      e as (select cls, i, rec, max(prec) over (partition by cls, i order by kk desc rows unbounded preceding) env from q),
+      v as (select n.cls, t.i, x, coalesce(max(env), 0.0) v from n cross join t cross join range(101) g(x) left join e on e.cls = n.cls and e.i = t.i
+        and e.rec >= x * 0.01::double group by 1, 2, 3),
+      a as (select cls, i, sum(v) / 101 ap from v group by 1, 2)
+      select cls, round(avg(ap), 6) map, round(max(case when i = 0 then ap end), 6) ap50 from a group by 1"""),
+    "a10_operating_point": (operating_point, f"""with {_FLAGS.format(levels=1)}, f as (select cls, conf, kk, round(2 * tps / (kk + n)::double, 12) f1 from k join n using (cls)),
+      r as (select *, row_number() over (partition by cls order by f1 desc, kk) r from f)
+      select cls, round(f1, 6) f1, round(conf, 6) conf from r where r = 1"""),
     "a19_banded_sizes": (banded_sizes, f"with {BOX_SQL} select {_BAND} band, count(*) n, median((x2 - x1) * (y2 - y1)) median_area from gt group by 1"),
     "a26_recall_any": (recall_any, f"with {BOX_SQL} select g.cls, count(*) n, round(avg(exists (select 1 from pr p where {_SAME} and {_G} >= 0.5)::int), 6) ar50 from gt g group by 1"),
-    "a20_outcome_rollup": (outcome_rollup, f"with {BOX_SQL}, s as (select g.gt, g.cls, g.x1, g.x2, g.y1, g.y2, max(case when {_G} >= 0.5 and g.cls = p.cls then 2 when {_G} >= 0.5 then 1 else 0 end) s from gt g left join pr p on g.img = p.img group by all), o as (select {_BAND} stratum, cls, s from s) select case when grouping(stratum) = 1 then 'all' else stratum end stratum, case when grouping(cls) = 1 then -1 else cls end cls, count(*) n, sum((s = 2)::int)::bigint agree, sum((s = 1)::int)::bigint class_conflict, round(avg((s = 2)::int), 6) rate from o group by rollup (stratum, cls)"),
+    "a20_outcome_rollup": (outcome_rollup, f"""with {BOX_SQL}, s as (select g.gt, g.cls, g.x1, g.x2, g.y1, g.y2, max(case when {_G} >= 0.5 and g.cls = p.cls then 2 when {_G} >= 0.5 then 1 else 0 end) s
+        from gt g left join pr p on g.img = p.img group by all),
+      o as (select {_BAND} stratum, cls, s from s)
+      select case when grouping(stratum) = 1 then 'all' else stratum end stratum, case when grouping(cls) = 1 then -1 else cls end cls, count(*) n,
+        sum((s = 2)::int)::bigint agree, sum((s = 1)::int)::bigint class_conflict, round(avg((s = 2)::int), 6) rate from o group by rollup (stratum, cls)"""),
     "f8_covered_classes": (covered_classes, f"with {BOX_SQL} select cls, " + ", ".join(f"sum((img % 3 = {i})::int)::bigint n{i}" for i in range(3)) + " from gt group by 1 having least(n0, n1, n2) >= 5"),
-    "i2_lagged_counts": (lagged_counts, "with n as (select ts::date d, event_type, count(*) n from events group by 1, 2) select strftime(a.d, '%Y-%m-%d') as day, a.event_type, a.n, coalesce(b.n, 0) before from n a left join n b on b.d + 1 = a.d and a.event_type = b.event_type"),
-    "k6_merge_status": (merge_status, "with n as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '+' else text end) n from documents where doc_id % 3 <> 0), o as (select doc_id, sha256(text) o from documents where doc_id % 3 <> 1) select case when o is null then 'new' when n is null then 'kept' when n = o then 'same' else 'replaced' end status, count(*) as \"rows\" from n full join o using (doc_id) group by 1"),
-    "f3_first_status": (first_status, "select case when coalesce(length(text), 0) = 0 then 'empty' when l.toxic = 1 then 'toxic' when length(text) < 200 then 'short' else 'kept' end status, count(*) as \"rows\" from documents d left join labels l on l.doc_id = d.doc_id and l.toxic = 1 group by 1"),
+    "i2_lagged_counts": (lagged_counts, """with n as (select ts::date d, event_type, count(*) n from events group by 1, 2)
+      select strftime(a.d, '%Y-%m-%d') as day, a.event_type, a.n, coalesce(b.n, 0) before from n a left join n b on b.d + 1 = a.d and a.event_type = b.event_type"""),
+    "k6_merge_status": (merge_status, """with n as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '+' else text end) n from documents where doc_id % 3 <> 0),
+      o as (select doc_id, sha256(text) o from documents where doc_id % 3 <> 1)
+      select case when o is null then 'new' when n is null then 'kept' when n = o then 'same' else 'replaced' end status, count(*) as \"rows\" from n full
+        join o using (doc_id) group by 1"""),
+    "f3_first_status": (first_status, """select case when coalesce(length(text), 0) = 0 then 'empty' when l.toxic = 1 then 'toxic' when length(text) < 200 then 'short' else 'kept' end status,
+        count(*) as \"rows\" from documents d left join labels l on l.doc_id = d.doc_id and l.toxic = 1 group by 1"""),
     "a18_soft_coverage": (soft_coverage, _HELD + " select label, count(*) n, round(avg(sim), 6) coverage from h join e on vec_id = qid where r = 1 group by 1"),
-    "j16_capped_vote": (capped_vote, _HELD + ", c as (select *, row_number() over (partition by qid order by r) r2 from h where r <= 64 and round(sim, 9) <= 0.35), n as (select qid, label, count(*) n from c join e on vec_id = bid where r2 <= 5 group by 1, 2) select qid, label, round(n / sum(n) over (partition by qid), 6) share from n"),
+    "j16_capped_vote": (capped_vote, _HELD + """, c as (select *, row_number() over (partition by qid order by r) r2 from h where r <= 64 and round(sim, 9) <= 0.35),
+      n as (select qid, label, count(*) n from c join e on vec_id = bid where r2 <= 5 group by 1, 2)
+      select qid, label, round(n / sum(n) over (partition by qid), 6) share from n"""),
     "t2_closest_pairs": (closest_pairs, _HELD + " select qid, bid, round(sim, 6) sim from h order by 3 desc, 1, 2 limit 12"),
-    "r7_bootstrap_interval": (bootstrap_interval, f"with {_DRAWS} select cls, count(*) reps, round(avg(recall), 6) mean, round(quantile_cont(recall, 0.025), 6) low, round(quantile_cont(recall, 0.975), 6) high from rc group by 1"),
-    "r9_paired_difference": (paired_difference, f"with {_DRAWS}, d as (select a.cls, round(a.recall - b.recall, 12) d from rc a join rc b using (rep) where a.cls > 0 and b.cls = 0) select cls, round(avg(d), 6) difference, round(avg((d <= 0)::int), 6) p_not_better from d group by 1"),
-    "e6_wasserstein": (wasserstein, f"with {BOX_SQL}, s as (select cls, (x2 - x1) * (y2 - y1) v, 1 a, 0 b from gt union all select cls, (x2 - x1) * (y2 - y1), 0, 1 from pr), c as (select cls, v, sum(sum(a)) over w / sum(sum(a)) over (partition by cls) fa, sum(sum(b)) over w / sum(sum(b)) over (partition by cls) fb, lead(v) over w nv from s group by cls, v window w as (partition by cls order by v)) select cls, round(sum(abs(fa - fb) * (nv - v)), 4) distance from c group by 1"),
-    "w8_group_prefixes": (group_prefixes, f"with {BOX_SQL}, s as (select img % {SCENES} scene, count(*) n, sum((cls = 0)::int) c0 from gt group by 1) select scene, sum(n) over w::bigint labels, sum(c0) over w::bigint labels0 from s window w as (order by scene * 7919 % 9973)"),
+    "r7_bootstrap_interval": (bootstrap_interval, f"""with {_DRAWS} select cls, count(*) reps, round(avg(recall), 6) mean, round(quantile_cont(recall, 0.025), 6) low, round(quantile_cont(recall, 0.975), 6) high
+        from rc group by 1"""),
+    "r9_paired_difference": (paired_difference, f"""with {_DRAWS}, d as (select a.cls, round(a.recall - b.recall, 12) d from rc a join rc b using (rep) where a.cls > 0 and b.cls = 0)
+      select cls, round(avg(d), 6) difference, round(avg((d <= 0)::int), 6) p_not_better from d group by 1"""),
+    "e6_wasserstein": (wasserstein, f"""with {BOX_SQL}, s as (select cls, (x2 - x1) * (y2 - y1) v, 1 a, 0 b from gt
+      union all select cls, (x2 - x1) * (y2 - y1), 0, 1 from pr),
+      c as (select cls, v, sum(sum(a)) over w / sum(sum(a)) over (partition by cls) fa, sum(sum(b)) over w / sum(sum(b)) over (partition by cls) fb,
+        lead(v) over w nv from s group by cls, v window w as (partition by cls order by v))
+      select cls, round(sum(abs(fa - fb) * (nv - v)), 4) distance from c group by 1"""),
+    "w8_group_prefixes": (group_prefixes, f"""with {BOX_SQL}, s as (select img % {SCENES} scene, count(*) n, sum((cls = 0)::int) c0 from gt group by 1)
+      select scene, sum(n) over w::bigint labels, sum(c0) over w::bigint labels0 from s window w as (order by scene * 7919 % 9973)"""),
     "u3_unlabelled": (unlabelled, "select doc_id from documents where doc_id not in (select doc_id from labels)"),
-    "u4_key_sets": (key_sets, "with a as (select distinct doc_id from documents), b as (select distinct doc_id from labels) select count(*) either, sum((a.doc_id is not null and b.doc_id is not null)::int)::bigint \"both\", sum((b.doc_id is null)::int)::bigint left_only, sum((a.doc_id is null)::int)::bigint right_only from a full join b on a.doc_id = b.doc_id"),
+    "u4_key_sets": (key_sets, """with a as (select distinct doc_id from documents),
+      b as (select distinct doc_id from labels)
+      select count(*) either, sum((a.doc_id is not null and b.doc_id is not null)::int)::bigint \"both\", sum((b.doc_id is null)::int)::bigint left_only,
+        sum((a.doc_id is null)::int)::bigint right_only from a full join b on a.doc_id = b.doc_id"""),
 }
 QUERIES = {k: f for k, (f, _) in _TABLE.items()}
 ORACLES = {k: s for k, (_, s) in _TABLE.items()}

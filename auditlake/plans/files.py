@@ -88,13 +88,20 @@ def merge_conflicts(spark, sf_dir):
 
 _TABLE = {
     "s6_csv_round_trip": (csv_round_trip, f"with {BOX_SQL}, n as (select img, cls, count(*) b from gt group by 1, 2) select cls, sum(b)::bigint boxes, count(*) images from n group by 1"),
-    "s5_voc_round_trip": (voc_round_trip, f"with {BOX_SQL}, c as (select cls, x1, y1, least(x2, 500) x2, least(y2, 500) y2 from gt) select 'c' || cls as name, count(*) boxes, round(sum((x2 - x1) * (y2 - y1)), 3) area from c where x2 > x1 and y2 > y1 group by 1"),
+    "s5_voc_round_trip": (voc_round_trip, f"""with {BOX_SQL}, c as (select cls, x1, y1, least(x2, 500) x2, least(y2, 500) y2 from gt)
+      select 'c' || cls as name, count(*) boxes, round(sum((x2 - x1) * (y2 - y1)), 3) area from c where x2 > x1 and y2 > y1 group by 1"""),
     "s8_prediction_round_trip": (prediction_round_trip, f"with {BOX_SQL} select img::varchar image_id, count(*) boxes, round(sum(conf), 6) conf from pr where img < 40 group by 1"),
-    "k4_label_round_trip": (label_round_trip, f"with {BOX_SQL} select case when img % 16 < 8 then 'train' else 'val' end split, case when cls = 0 then 'a' else 'b' end as name, count(*) labels from gt where cls in (0, 1, 3) group by 1, 2"),
+    "k4_label_round_trip": (label_round_trip, f"""with {BOX_SQL} select case when img % 16 < 8 then 'train' else 'val' end split, case when cls = 0 then 'a' else 'b' end as name, count(*) labels from gt
+        where cls in (0, 1, 3) group by 1, 2"""),
     "s14_report_round_trip": (report_round_trip, f"with {BOX_SQL} select cls, count(*) boxes from gt group by 1"),
-    "s13_metrics_round_trip": (metrics_round_trip, "with d as (select ts::date d, round(avg(value), 6) v from events group by 1), e as (select d - (select min(d) from d) epoch, v from d) select max(epoch) + 1 epochs, (select epoch + 1 from e order by v desc, epoch limit 1) best, max(v) as value from e"),
-    "s17_manifest_status": (manifest_status, "select distinct lang || '.txt' path, case lang when 'es' then 'missing' when 'de' then 'differs' else 'same' end status from documents where lang is not null"),
-    "k6_merge_conflicts": (merge_conflicts, "with n as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '+' else text end) n from documents where doc_id % 3 <> 0 and text is not null), o as (select doc_id, sha256(text) o from documents where doc_id % 3 <> 1 and text is not null) select case when o is null then 'new' when n is null then 'kept' when n = o then 'same' else 'conflict' end status, count(*) as \"rows\" from n full join o using (doc_id) group by 1"),
+    "s13_metrics_round_trip": (metrics_round_trip, """with d as (select ts::date d, round(avg(value), 6) v from events group by 1),
+      e as (select d - (select min(d) from d) epoch, v from d)
+      select max(epoch) + 1 epochs, (select epoch + 1 from e order by v desc, epoch limit 1) best, max(v) as value from e"""),
+    "s17_manifest_status": (manifest_status, """select distinct lang || '.txt' path, case lang when 'es' then 'missing' when 'de' then 'differs' else 'same' end status from documents where lang is not null"""),
+    "k6_merge_conflicts": (merge_conflicts, """with n as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '+' else text end) n from documents where doc_id % 3 <> 0 and text is not null),
+      o as (select doc_id, sha256(text) o from documents where doc_id % 3 <> 1 and text is not null)
+      select case when o is null then 'new' when n is null then 'kept' when n = o then 'same' else 'conflict' end status, count(*) as \"rows\" from n full
+        join o using (doc_id) group by 1"""),
 }
 QUERIES = {k: f for k, (f, _) in _TABLE.items()}
 ORACLES = {k: s for k, (_, s) in _TABLE.items()}

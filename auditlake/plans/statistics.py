@@ -330,37 +330,53 @@ select p.trial, o.place, o.grp, case when p.used < 0.25 * t and p.used + o.n <=
 def _ap_sql(name: str, where: str, gt: str = "gt", n: str = "n") -> str:
     """Tables ending in {name}a(cls, ap): AP of the predictions under a condition, matched in order by a recursion."""
     part = f"{name}p as (select * from pr where {where}), " + _greedy_sql(name, f"{name}p", gt, 1)
-    flags = f"{name}f as (select p.cls, p.pred, p.conf, (m.pred is not null)::int tp from {name}p p left join (select pred from {name}s where pick is not null) m using (pred) where p.img in (select img from {gt}))"
-    rows = f"{name}q as (select f.cls, sum(tp) over w / n::double rec, sum(tp) over w / (row_number() over w)::double prec from {name}f f join {n} n using (cls) window w as (partition by f.cls order by conf desc, pred))"
-    return f"{part}, {flags}, {rows}, {name}a as (select cls, sum(v) / 101 ap from (select n.cls, x, coalesce(max(prec), 0.0) v from {n} n cross join range(101) g(x) left join {name}q q on q.cls = n.cls and q.rec >= x * 0.01::double group by 1, 2) group by 1)"
+    flags = f"""{name}f as (select p.cls, p.pred, p.conf, (m.pred is not null)::int tp from {name}p p left join (select pred from {name}s
+        where pick is not null) m using (pred) where p.img in (select img from {gt}))"""
+    rows = f"""{name}q as (select f.cls, sum(tp) over w / n::double rec, sum(tp) over w / (row_number() over w)::double prec from {name}f f
+        join {n} n using (cls) window w as (partition by f.cls order by conf desc, pred))"""
+    return f"""{part}, {flags}, {rows}, {name}a as (select cls, sum(v) / 101 ap from (select n.cls, x, coalesce(max(prec), 0.0) v from {n} n cross join range(101) g(x) left
+        join {name}q q on q.cls = n.cls and q.rec >= x * 0.01::double group by 1, 2) group by 1)"""
 
 
 _NC = f"with recursive {BOX_SQL}, n as (select cls, count(*) n from gt group by 1)"
-_FAMILY = f"{_NC}, " + ", ".join(_ap_sql(f"r{k}", f"conf >= {k} / 8::double") for k in range(4)) + ", rs as (" + " union all ".join(f"select {k}::bigint run, cls, round(ap, 12) ap from r{k}a" for k in range(4)) + "), fm as (select run, round(avg(ap), 6) mean, sum((ap = top)::int)::bigint wins from (select *, max(ap) over (partition by cls) top from rs) group by 1)"
+_FAMILY = f"{_NC}, " + ", ".join(_ap_sql(f"r{k}", f"conf >= {k} / 8::double") for k in range(4)) + ", rs as (" + " union all ".join(f"select {k}::bigint run, cls, round(ap, 12) ap from r{k}a" for k in range(4)) + """),
+      fm as (select run, round(avg(ap), 6) mean, sum((ap = top)::int)::bigint wins from (select *, max(ap) over (partition by cls) top from rs) group by 1)"""
 _PERM = f"""with {BOX_SQL}, s as (select img % {SCENES} scene, count(*) x, round(avg((x2 - x1) * (y2 - y1)), 6) y from gt group by 1), o as (select scene, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2 ry, row_number() over (order by scene) place from s),
 m as (select trial, ry, row_number() over (partition by trial order by md5(concat_ws('-', trial::varchar, scene::varchar))) place from o, range({PERMUTATIONS}) r(trial)), z as (select trial, corr(o.rx, m.ry) z from m join o using (place) group by 1), r as (select corr(rx, ry) r from o)
 select round(r, 6) rho, round(avg((abs(z) >= abs(r) - 1e-12)::int), 6) p from z, r group by r"""
 
 _TABLE = {
     "a14_flag_confidence": (flag_confidence, f"with {_UNITS} select gt, round(conf, 6) conf from fc"),
-    "a15_units": (units, f"with {_UNITS}, f as (select img % {SCENES} unit, count(*) defects, round(avg((conf < 0.5)::int), 6) missed from fc group by 1), a as (select img % {SCENES} unit, count(*) a from al where conf >= 0.3 group by 1) select unit, defects, missed, images, round(coalesce(a, 0) / images, 6) alarms from f join im using (unit) left join a using (unit)"),
-    "a16_alarm_matrix": (alarm_matrix, f"with {_UNITS} select unit, t, round(count(al.conf) / any_value(images), 6) alarms from (select im.* from im where unit in (select img % {SCENES} from g0)) u cross join range(11) g(t) left join al on al.img % {SCENES} = u.unit and floor(al.conf * 10) >= t group by 1, 2"),
+    "a15_units": (units, f"""with {_UNITS}, f as (select img % {SCENES} unit, count(*) defects, round(avg((conf < 0.5)::int), 6) missed from fc group by 1),
+      a as (select img % {SCENES} unit, count(*) a from al where conf >= 0.3 group by 1)
+      select unit, defects, missed, images, round(coalesce(a, 0) / images, 6) alarms from f join im using (unit) left join a using (unit)"""),
+    "a16_alarm_matrix": (alarm_matrix, f"""with {_UNITS} select unit, t, round(count(al.conf) / any_value(images), 6) alarms from (select im.* from im where unit in (select img % {SCENES}
+        from g0)) u cross join range(11) g(t) left join al on al.img % {SCENES} = u.unit and floor(al.conf * 10) >= t group by 1, 2"""),
     "r11_calibration_draws": (calibration_draws, f"""with {_UNITS}, ls as (select img, t, avg((conf < t / 20::double)::int) loss from fc, range(21) g(t) group by 1, 2), dr as (select * from (select trial, img, row_number() over (partition by trial order by md5(concat_ws('-', trial::varchar, img::varchar))) place from (select distinct img from fc), range({TRIALS}) r(trial)) where place <= {CALIBRATION}),
 mn as (select trial, t, avg(loss) m, count(*) n from ls join dr using (img) group by 1, 2), st as (select trial, coalesce(greatest(min(case when round((n * m + 1) / (n + 1), 12) > {ALPHA} then t end) - 1, 0), max(t)) t from mn group by 1), al2 as (select t, avg(loss) miss from ls group by 1)
 select round(avg(t), 6) step, round(avg(miss), 6) miss, round(avg((round(miss, 12) > {ALPHA})::int), 6) violations from st join al2 using (t)"""),
     "e1_dummy_slope": (dummy_slope, _PANEL),
     "e2_two_way_slope": (two_way_slope, _PANEL),
     "e3_fractional_logistic": (fractional_logistic, None),
-    "e5_kernel_distance": (kernel_distance, _COS.replace(" where a.vec_id <> b.vec_id", "") + ", k as (select (qs = 'train') q, (bs = 'train') b, avg(exp(-4 * (1 - sim))) m from p group by 1, 2) select round(sum(case when q = b then m else -m end), 8) mmd2 from k"),
+    "e5_kernel_distance": (kernel_distance, _COS.replace(" where a.vec_id <> b.vec_id", "") + """, k as (select (qs = 'train') q, (bs = 'train') b, avg(exp(-4 * (1 - sim))) m from p group by 1, 2)
+      select round(sum(case when q = b then m else -m end), 8) mmd2 from k"""),
     "e7_clusters": (clusters, None),
     "r10_permutation_test": (permutation_test, _PERM),
-    "t4_group_packing": (group_packing, f"with recursive {_GRP}, od as (select grp, n, row_number() over (order by n desc, grp) place from gr), pk(place, grp, used, took) as (select 0::bigint, null::bigint, 0::hugeint, false union all select o.place, o.grp, case when p.used < 0.4 * t and p.used + o.n <= 0.4 * t * 1.05 then p.used + o.n else p.used end, p.used < 0.4 * t and p.used + o.n <= 0.4 * t * 1.05 from pk p join od o on o.place = p.place + 1, tt) select grp from pk where took"),
+    "t4_group_packing": (group_packing, f"""with recursive {_GRP}, od as (select grp, n, row_number() over (order by n desc, grp) place from gr),
+      pk(place, grp, used, took) as (select 0::bigint, null::bigint, 0::hugeint, false
+      union all select o.place, o.grp, case when p.used < 0.4 * t and p.used + o.n <= 0.4 * t * 1.05 then p.used + o.n else p.used end, p.used < 0.4 * t
+        and p.used + o.n <= 0.4 * t * 1.05 from pk p join od o on o.place = p.place + 1, tt)
+      select grp from pk where took"""),
     "r3_budget_draws": (budget_draws, f"{_PACKED} select grp, count(*) draws from pk where took group by 1"),
-    "r3_class_matched": (class_matched_draw, f"{_PACKED}, d as (select pk.trial, gr.* from pk join gr using (grp) where took), b as (select trial from (select trial, round(abs(sum(c0) / sum(n)::double - any_value(t0) / any_value(t)::double), 12) off from d, tt group by 1) order by off, trial limit 1) select trial, grp, n from d where trial in (select trial from b)"),
+    "r3_class_matched": (class_matched_draw, f"""{_PACKED}, d as (select pk.trial, gr.* from pk join gr using (grp) where took),
+      b as (select trial from (select trial, round(abs(sum(c0) / sum(n)::double - any_value(t0) / any_value(t)::double), 12) off from d, tt
+        group by 1) order by off, trial limit 1)
+      select trial, grp, n from d where trial in (select trial from b)"""),
     "r2_nested_prefixes": (nested_prefixes, f"""with {_GRP}, {_ORDERED}, rn as (select trial, place, sum(n) over w cn, sum(c0) over w c from od window w as (partition by trial order by place)), ct as (select trial, f, min(place) place, min(cn) cn, arg_min(c, place) c from rn, tt, (values (0.25::double), (0.5::double)) v(f) where cn >= f * t group by 1, 2),
 sc as (select trial, round(sum(abs(c / cn::double - t0 / t::double)), 12) off from ct, tt group by 1), b as (select trial from sc order by off, trial limit 1) select trial, round(f, 2) fraction, place scenes, cn::bigint labels from ct where trial in (select trial from b)"""),
     "r1_stratified_split": (stratified_split, None),
-    "r6_held_out_draw": (held_out_draw, "select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by md5(concat_ws('-', '7', doc_id::varchar))) r, count(*) over (partition by lang) n from documents where lang is not null) where r <= ceil(n / 10)"),
+    "r6_held_out_draw": (held_out_draw, """select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by md5(concat_ws('-', '7', doc_id::varchar))) r,
+        count(*) over (partition by lang) n from documents where lang is not null) where r <= ceil(n / 10)"""),
     "r4_scene_cover": (scene_cover, None),
     "r5_pattern_draw": (pattern_draw, None),
     "r15_cross_fit": (cross_fit, f"""with {BOX_SQL}, b as (select g.gt, g.cls, g.img % {SCENES} scene, coalesce(max({_I}), 0.0) best from gt g left join pr p on g.img = p.img and g.cls = p.cls group by 1, 2, 3), f as (select scene, dense_rank() over (order by m) % 2 fold from (select scene, min(gt) m from b group by 1)), m as (select cls, fold, avg(best) m, count(*) n from b join f using (scene) group by 1, 2)
@@ -368,11 +384,20 @@ select a.cls, a.fold, a.n, round(a.m, 6) own, round(b.m, 6) fitted from m a join
     "r13_clicks": (clicks, f"with {BOX_SQL} select gt, round(x1 + ((gt * 7919 + 13) % 997 + 0.5) / 997 * (x2 - x1), 6) cx, round(y1 + ((gt * 7919 + 41) % 997 + 0.5) / 997 * (y2 - y1), 6) cy from gt"),
     "r14_placements": (placements, f"""with {BOX_SQL}, p as (select img, k, x1, y1, x1 + 40 x2, y1 + 30 y2 from (select distinct img, k, ((img * 37 + k * 113) % 460)::double x1, ((img * 53 + k * 197) % 470)::double y1 from gt, range(12) r(k))), f as (select * from p where not exists (select 1 from gt g where g.img = p.img and {_INT} > 120::double))
 select img, min(k) tries, arg_min(x1, k) x1, arg_min(y1, k) y1 from f group by 1"""),
-    "a21_subset_properties": (subset_properties, f"with n as (select {_SPLIT} split, label, count(*) n from embeddings group by 1, 2), p as (select *, n / sum(n) over (partition by split) p from n) select split, sum(n)::bigint n, count(*) labels, min(n) least, sum((n >= 10)::int)::bigint covered, round(-sum(p * ln(p)), 6) entropy from p group by 1"),
-    "a22_count_contrast": (count_contrast, f"{_NC}, {_ap_sql('u', 'true')}, {_ap_sql('b', 'pred % 10 = 1')}, d as (select n.n < (select avg(n) from n) low, round(ua.ap - ba.ap, 12) d from ua join ba using (cls) join n using (cls)) select round(avg(d) filter (where low), 6) low, round(avg(d) filter (where not low), 6) high, round(avg(d) filter (where low) - avg(d) filter (where not low), 6) contrast, round(avg(case when low then d else 0.0 end), 6) gated, round(avg(d), 6) fixed from d"),
+    "a21_subset_properties": (subset_properties, f"""with n as (select {_SPLIT} split, label, count(*) n from embeddings group by 1, 2),
+      p as (select *, n / sum(n) over (partition by split) p from n)
+      select split, sum(n)::bigint n, count(*) labels, min(n) least, sum((n >= 10)::int)::bigint covered, round(-sum(p * ln(p)), 6) entropy from p group by 1"""),
+    "a22_count_contrast": (count_contrast, f"""{_NC}, {_ap_sql('u', 'true')}, {_ap_sql('b', 'pred % 10 = 1')}, d as (select n.n < (select avg(n) from n) low, round(ua.ap - ba.ap, 12) d from ua
+        join ba using (cls) join n using (cls))
+      select round(avg(d) filter (where low), 6) low, round(avg(d) filter (where not low), 6) high, round(avg(d) filter (where low) - avg(d) filter (where not low),
+        6) contrast, round(avg(case when low then d else 0.0 end), 6) gated, round(avg(d), 6) fixed from d"""),
     "a23_family_means": (family_means, f"{_FAMILY} select run, mean, wins from fm"),
-    "e9_decision_rules": (decision_rules, f"{_FAMILY}, m as (select max(mean) filter (where run = 0) a, max(mean) filter (where run = 1) b, max(mean) filter (where run = 2) c from fm) select 'loses_under_a_point' rule, a - b < 0.01::double passed from m union all select 'falls_with_the_bar', a >= b and b >= c from m union all select 'half_is_kept', c >= 0.5 * a from m"),
-    "e11_leave_one_out": (leave_one_out, f"{_NC}, {_ap_sql('u', 'true')}, s as (select sum(ap) s, count(*) k from ua) select cls, round((s - ap) / (k - 1), 6) rest, round(s / k - (s - ap) / (k - 1), 6) gap from ua, s"),
+    "e9_decision_rules": (decision_rules, f"""{_FAMILY}, m as (select max(mean) filter (where run = 0) a, max(mean) filter (where run = 1) b, max(mean) filter (where run = 2) c from fm)
+      select 'loses_under_a_point' rule, a - b < 0.01::double passed from m
+      union all select 'falls_with_the_bar', a >= b and b >= c from m
+      union all select 'half_is_kept', c >= 0.5 * a from m"""),
+    "e11_leave_one_out": (leave_one_out, f"""{_NC}, {_ap_sql('u', 'true')}, s as (select sum(ap) s, count(*) k from ua)
+      select cls, round((s - ap) / (k - 1), 6) rest, round(s / k - (s - ap) / (k - 1), 6) gap from ua, s"""),
     "e10_subset_gains": (subset_gains, f"with recursive {BOX_SQL}, " + ", ".join(f"t{k} as (select * from gt where img % 8 = {k}), n{k} as (select cls, count(*) n from t{k} group by 1), " + ", ".join(_ap_sql(f"{x}{k}", w, f"t{k}", f"n{k}") for x, w in (("u", "true"), ("b", "pred % 10 = 1"))) for k in (0, 4)) + " " + " union all ".join(f"select {k}::bigint subset, round((select avg(ap) from u{k}a), 6) \"all\", round((select avg(ap) from u{k}a) - (select avg(ap) from b{k}a), 6) gain" for k in (0, 4))),
 }
 QUERIES = {k: f for k, (f, _) in _TABLE.items()}

@@ -310,37 +310,77 @@ _CENTRED = "list_transform(embedding::double[], lambda x: x - list_avg(embedding
 _SQ = lambda v: f"list_dot_product({v}, {v})"
 
 _TABLE = {
-    "p3_inside_image": (inside_image, f"with {BOX_SQL} select gt, round(greatest(least(x2, {SIDE}) - greatest(x1, 0), 0) * greatest(least(y2, {SIDE}) - greatest(y1, 0), 0) / greatest((x2 - x1) * (y2 - y1), 1e-9), 6) share from gt"),
+    "p3_inside_image": (inside_image, f"""with {BOX_SQL} select gt, round(greatest(least(x2, {SIDE}) - greatest(x1, 0), 0) * greatest(least(y2, {SIDE}) - greatest(y1, 0),
+        0) / greatest((x2 - x1) * (y2 - y1), 1e-9), 6) share from gt"""),
     "p7_view_coverage": (view_coverage, f"""with {BOX_SQL}, m as (select gt, 0.3::double + (gt % 9) / 10 a, ((gt % 5) - 2) / 10 b, x1 - 100 tx, y1 - 100 ty from gt),
 c as (select gt, a, b, tx, ty, least(greatest(tx, 0), 500) px1, least(greatest(ty, 0), 500) py1, least(greatest(500 * a + tx, 0), 500) px2, least(greatest(500 * b + ty, 0), 500) py2, least(greatest(500 * a - 500 * b + tx, 0), 500) px3, least(greatest(500 * b + 500 * a + ty, 0), 500) py3, least(greatest(-500 * b + tx, 0), 500) px4, least(greatest(500 * a + ty, 0), 500) py4 from m),
 g as (select gt, avg((x >= 0 and x < 500 and y >= 0 and y < 500)::int) grid from (select gt, round((a * (u - tx) + b * (v - ty)) / (a * a + b * b), 9) x, round((-b * (u - tx) + a * (v - ty)) / (a * a + b * b), 9) y from m, (select (i + 0.5::double) * 500 / {GRID} u from range({GRID}) r(i)), (select (i + 0.5::double) * 500 / {GRID} v from range({GRID}) r(i))) group by 1)
 select gt, round(abs(px1 * py2 - px2 * py1 + px2 * py3 - px3 * py2 + px3 * py4 - px4 * py3 + px4 * py1 - px1 * py4) / 2 / 250000, 6) polygon, round(grid, 6) grid, (sqrt(a * a + b * b) > 0.33 and sqrt(a * a + b * b) < 3)::int sane from c join g using (gt)"""),
-    "f6_moved_boxes": (moved_boxes, f"with {BOX_SQL}, m as (select pred, cls, conf, x1 * 0.9::double + 40 x1, y1 * 1.1::double - 20 y1, x2 * 0.9::double + 40 x2, y2 * 1.1::double - 20 y2 from pr), w as (select *, least(x2, 420) - greatest(x1, 100) w, least(y2, 420) - greatest(y1, 100) h from m) select cls, case when conf < 0.2::double + 0.1::double * cls then 'unsure' when w < 4 or h < 4 then 'outside' when w * h / ((x2 - x1) * (y2 - y1)) < 0.5 or pred * 31 % 100 < 50 then 'ignored' else 'kept' end outcome, count(*) n from w group by 1, 2"),
-    "f4_local_support": (local_support, f"with {BOX_SQL}, s as (select g.gt, count(*) support from gt g join pr p on g.img = p.img and (p.x1 + p.x2) / 2 between g.x1 - 0.05::double * (g.x2 - g.x1) and g.x2 + 0.05::double * (g.x2 - g.x1) and (p.y1 + p.y2) / 2 between g.y1 - 0.05::double * (g.y2 - g.y1) and g.y2 + 0.05::double * (g.y2 - g.y1) group by 1) select gt, support from s join gt using (gt) where support >= 2 and greatest(least(x2, {SIDE}) - x1, 0) * greatest(least(y2, {SIDE}) - y1, 0) / ((x2 - x1) * (y2 - y1)) >= 0.8"),
-    "j21_gated_blend": (gated_blend, f"with {BOX_SQL}, q as (select img, pred, x1 + pred * 3 % 13 - 6 x1, y1 + pred * 5 % 13 - 6 y1, x2 + pred * 7 % 13 - 6 x2, y2 + pred * 11 % 13 - 6 y2 from pr where pred % 3 <> 0), j as (select p.*, q.x1 a, q.y1 b, q.x2 c, q.y2 d, coalesce({iou_sql('p', 'q')} >= 0.8, false) ok from pr p left join q on p.img = q.img and p.pred = q.pred) select pred, ok::int refined, case when ok then (x1 + a) / 2 else x1 end x1, case when ok then (y1 + b) / 2 else y1 end y1, case when ok then (x2 + c) / 2 else x2 end x2, case when ok then (y2 + d) / 2 else y2 end y2 from j"),
+    "f6_moved_boxes": (moved_boxes, f"""with {BOX_SQL}, m as (select pred, cls, conf, x1 * 0.9::double + 40 x1, y1 * 1.1::double - 20 y1, x2 * 0.9::double + 40 x2, y2 * 1.1::double - 20 y2 from pr),
+      w as (select *, least(x2, 420) - greatest(x1, 100) w, least(y2, 420) - greatest(y1, 100) h from m)
+      select cls, case when conf < 0.2::double + 0.1::double * cls then 'unsure' when w < 4 or h < 4 then 'outside' when w * h / ((x2 - x1) * (y2 - y1)) < 0.5 or pred * 31 % 100 < 50 then 'ignored' else 'kept' end outcome, count(*) n from w group by 1, 2"""),
+    "f4_local_support": (local_support, f"""with {BOX_SQL}, s as (select g.gt, count(*) support from gt g join pr p on g.img = p.img and (p.x1 + p.x2) / 2 between g.x1 - 0.05::double * (g.x2 - g.x1)
+        and g.x2 + 0.05::double * (g.x2 - g.x1) and (p.y1 + p.y2) / 2 between g.y1 - 0.05::double * (g.y2 - g.y1) and g.y2 + 0.05::double * (g.y2 - g.y1) group by 1)
+      select gt, support from s join gt using (gt) where support >= 2 and greatest(least(x2, {SIDE}) - x1, 0) * greatest(least(y2, {SIDE}) - y1,
+        0) / ((x2 - x1) * (y2 - y1)) >= 0.8"""),
+    "j21_gated_blend": (gated_blend, f"""with {BOX_SQL}, q as (select img, pred, x1 + pred * 3 % 13 - 6 x1, y1 + pred * 5 % 13 - 6 y1, x2 + pred * 7 % 13 - 6 x2, y2 + pred * 11 % 13 - 6 y2 from pr
+        where pred % 3 <> 0),
+      j as (select p.*, q.x1 a, q.y1 b, q.x2 c, q.y2 d, coalesce({iou_sql('p', 'q')} >= 0.8, false) ok from pr p left join q on p.img = q.img and p.pred = q.pred)
+      select pred, ok::int refined, case when ok then (x1 + a) / 2 else x1 end x1, case when ok then (y1 + b) / 2 else y1 end y1,
+        case when ok then (x2 + c) / 2 else x2 end x2, case when ok then (y2 + d) / 2 else y2 end y2 from j"""),
     "j18_view_fusion": (view_fusion, None),
     "j20_view_pairs": (view_pairs, _KNN + f", q as (select qid, bid from k where rank <= {NEIGHBOURS} and sim >= {SCENE}) select qid a, bid b from q union select bid, qid from q"),
-    "t3_best_setting": (best_setting, f"with recursive {BOX_SQL}, {_greedy_sql('m', levels=1)}, f as (select p.img % 16 part, t, (m.pred is not null)::int tp from pr p cross join range(10) r(t) left join (select pred from ms where pick is not null) m using (pred) where p.img in (select img from gt) and conf >= t / 10::double), n as (select img % 16 part, count(*) n from gt group by 1), s as (select part, t, round(2 * sum(tp) / (count(*) + any_value(n))::double, 9) f1 from f join n using (part) group by 1, 2), b as (select t from s where part = 4 order by f1 desc, t limit 1) select t, round(max(case when part = 4 then f1 end), 6) chosen_on, round(max(case when part = 12 then f1 end), 6) reported from s join b using (t) group by 1"),
-    "p18_centred_vectors": (centred_vectors, f"with c as (select vec_id, list_avg(embedding::double[]) m, {_CENTRED} v from embeddings) select vec_id, round(m, 6) mean, round(sqrt({_SQ('v')}), 6) length, round(v[1] / sqrt({_SQ('v')}), 6) first from c"),
-    "j4_dihedral_match": (dihedral_match, f"with e as (select vec_id, {_SPLIT} split, {_CENTRED} v from embeddings), q as (select vec_id, turn, list_transform(ord, lambda i: v[i + 1]) v from e, {_ORDERS} where split = 'test'), s as (select q.vec_id, q.turn, b.vec_id match, round(list_dot_product(q.v, b.v) / sqrt({_SQ('q.v')} * {_SQ('b.v')}), 9) sim from q, e b where b.split = 'train') select vec_id, round(sim, 6) sim, match from (select *, row_number() over (partition by vec_id order by sim desc, turn, match) r from s) where r = 1"),
-    "p20_masked_correlation": (masked_correlation, "with x as (select vec_id, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::double x from embeddings), c as (select p.vec_id, count(*) n, corr(p.x, q.x) r from x p join x q on q.vec_id = p.vec_id + 1 and q.i = p.i where (p.i * 7 + p.vec_id) % 3 < case when p.vec_id % 10 = 0 then 1 else 2 end group by 1) select vec_id, n, round(case when n >= 40 then r end, 6) zncc from c"),
-    "p22_box_means": (box_means, f"with b as (select vec_id, embedding::double[] v, vec_id % 5 x1, vec_id // 5 % 5 y1, vec_id % 5 + vec_id % 4 x2, vec_id // 5 % 5 + 1 + vec_id % 3 y2 from embeddings), c as (select vec_id, v[k + 1] x from b, range({GRID * GRID}) r(k) where k % {GRID} >= x1 and k % {GRID} < x2 and k // {GRID} >= y1 and k // {GRID} < y2) select b.vec_id, count(x) cells, round(coalesce(avg(x), any_value(v[{GRID * GRID // 2 + GRID // 2 + 1}])), 6) mean from b left join c using (vec_id) group by 1"),
+    "t3_best_setting": (best_setting, f"""with recursive {BOX_SQL}, {_greedy_sql('m', levels=1)}, f as (select p.img % 16 part, t, (m.pred is not null)::int tp from pr p cross join range(10) r(t) left
+        join (select pred from ms where pick is not null) m using (pred) where p.img in (select img from gt) and conf >= t / 10::double),
+      n as (select img % 16 part, count(*) n from gt group by 1),
+      s as (select part, t, round(2 * sum(tp) / (count(*) + any_value(n))::double, 9) f1 from f join n using (part) group by 1, 2),
+      b as (select t from s where part = 4 order by f1 desc, t limit 1)
+      select t, round(max(case when part = 4 then f1 end), 6) chosen_on, round(max(case when part = 12 then f1 end), 6) reported from s join b using (t) group by 1"""),
+    "p18_centred_vectors": (centred_vectors, f"""with c as (select vec_id, list_avg(embedding::double[]) m, {_CENTRED} v from embeddings)
+      select vec_id, round(m, 6) mean, round(sqrt({_SQ('v')}), 6) length, round(v[1] / sqrt({_SQ('v')}), 6) first from c"""),
+    "j4_dihedral_match": (dihedral_match, f"""with e as (select vec_id, {_SPLIT} split, {_CENTRED} v from embeddings),
+      q as (select vec_id, turn, list_transform(ord, lambda i: v[i + 1]) v from e, {_ORDERS} where split = 'test'),
+      s as (select q.vec_id, q.turn, b.vec_id match, round(list_dot_product(q.v, b.v) / sqrt({_SQ('q.v')} * {_SQ('b.v')}), 9) sim from q, e b where b.split = 'train')
+      select vec_id, round(sim, 6) sim, match from (select *, row_number() over (partition by vec_id order by sim desc, turn, match) r from s) where r = 1"""),
+    "p20_masked_correlation": (masked_correlation, """with x as (select vec_id, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::double x from embeddings),
+      c as (select p.vec_id, count(*) n, corr(p.x, q.x) r from x p join x q on q.vec_id = p.vec_id + 1 and q.i = p.i where (p.i * 7 + p.vec_id) % 3 <
+        case when p.vec_id % 10 = 0 then 1 else 2 end group by 1)
+      select vec_id, n, round(case when n >= 40 then r end, 6) zncc from c"""),
+    "p22_box_means": (box_means, f"""with b as (select vec_id, embedding::double[] v, vec_id % 5 x1, vec_id // 5 % 5 y1, vec_id % 5 + vec_id % 4 x2, vec_id // 5 % 5 + 1 + vec_id % 3 y2 from embeddings),
+      c as (select vec_id, v[k + 1] x from b, range({GRID * GRID}) r(k) where k % {GRID} >= x1 and k % {GRID} < x2 and k // {GRID} >= y1 and k // {GRID} < y2)
+      select b.vec_id, count(x) cells, round(coalesce(avg(x), any_value(v[{GRID * GRID // 2 + GRID // 2 + 1}])), 6) mean from b left join c using (vec_id) group by 1"""),
     "g3_evidence_groups": (evidence_groups, _EDGES3 + " select vec_id, min(root) group_id from r group by 1"),
     "g4_split_audit": (split_audit, None),
     "g5_decontaminated": (decontaminated, _COS.replace("with e as", "with recursive e as", 1) + f""", ed as materialized (select qid, bid, round(sim, 9) sim from p where sim >= {TWIN} and qs = 'train' and bs in ('train', 'test')),
 l(vec_id, lvl) as (select vec_id, 0 from e where split = 'test' union select ed.qid, l.lvl + 1 from l join ed on ed.bid = l.vec_id where l.lvl < 40), f as (select vec_id, min(lvl) lvl from l group by 1),
 m as (select a.vec_id, ed.bid, ed.sim, row_number() over (partition by a.vec_id order by ed.sim desc, ed.bid) r from f a join ed on ed.qid = a.vec_id join f b on b.vec_id = ed.bid and b.lvl = a.lvl - 1 where a.lvl > 0)
 select e.vec_id, case when lvl = 1 then 'twin' when lvl > 1 then 'closure' else 'kept' end status, lvl::bigint round, m.bid as match, round(m.sim, 6) sim from e left join f using (vec_id) left join m on m.vec_id = e.vec_id and r = 1 where split = 'train'"""),
-    "g7_pool_audit": (pool_audit, _COS + f", b as (select qid, max(sim) sim from p where qs = 'train' and bs = 'test' group by 1) select count(*) kept, round(max(sim), 6) largest, round(quantile_cont(sim, 0.999), 6) p999, round(quantile_cont(sim, 0.99), 6) p99, round(quantile_cont(sim, 0.5), 6) p50, sum((sim >= {TWIN})::int)::bigint twins from b"),
-    "j6_verified_pairs": (verified_pairs, "with p as (select a.doc_id a, b.doc_id b, list_distinct(string_split(a.text, ' ')) x, list_distinct(string_split(b.text, ' ')) y from documents a join documents b on b.doc_id = a.doc_id + 1 where a.text is not null and b.text is not null), i as (select a, b, len(list_intersect(x, y)) i, len(x) + len(y) s from p) select a, b, case when a % 4 = 0 then -1.0 else round(i / (s - i), 6) end score from i"),
-    "f2_scene_rule": (scene_rule, "with g as (select doc_id, max(quality) q from labels group by 1) select source, case when doc_id % 2 = 1 or q = 1 then 'kept' when q is null then 'no_group' else 'scene' end status, count(*) n from documents left join g using (doc_id) group by 1, 2"),
-    "j13_partner_flags": (partner_flags, _COS + f", b as (select qid, max(round(sim, 9)) sim from p where qs <> 'train' and bs = 'train' and qid % 5 <> 0 group by 1) select vec_id, (sim >= {SCENE})::int leaked from e left join b on qid = vec_id where split <> 'train'"),
-    "j14_key_lookup": (key_lookup, "with a as (select distinct doc_id + case when doc_id % 9 = 0 then 1000000 else 0 end doc_id from labels), n as (select doc_id, count(*) n from documents group by 1) select case when n is null then 'missing' when n = 1 then 'found' else 'several' end state, count(*) as \"keys\" from a left join n using (doc_id) group by 1"),
-    "f9_integrity": (integrity, f"with {BOX_SQL} select 'images_without_predictions' as \"check\", count(distinct img) as \"rows\" from gt where img not in (select img from pr) union all select 'labels_without_document', count(*) from labels where doc_id not in (select doc_id from documents) union all select 'empty_vectors', count(*) from embeddings where len(embedding) = 0"),
-    "u1_evaluation_keys": (evaluation_keys, "select source, count(*) as \"keys\" from (select 'documents' source, doc_id k from documents where lang = 'en' union select 'documents', doc_id from labels where toxic = 1 union select 'benchmark', item_id from benchmark) group by 1"),
+    "g7_pool_audit": (pool_audit, _COS + f""", b as (select qid, max(sim) sim from p where qs = 'train' and bs = 'test' group by 1)
+      select count(*) kept, round(max(sim), 6) largest, round(quantile_cont(sim, 0.999), 6) p999, round(quantile_cont(sim, 0.99), 6) p99, round(quantile_cont(sim,
+        0.5), 6) p50, sum((sim >= {TWIN})::int)::bigint twins from b"""),
+    "j6_verified_pairs": (verified_pairs, """with p as (select a.doc_id a, b.doc_id b, list_distinct(string_split(a.text, ' ')) x, list_distinct(string_split(b.text, ' ')) y from documents a
+        join documents b on b.doc_id = a.doc_id + 1 where a.text is not null and b.text is not null),
+      i as (select a, b, len(list_intersect(x, y)) i, len(x) + len(y) s from p)
+      select a, b, case when a % 4 = 0 then -1.0 else round(i / (s - i), 6) end score from i"""),
+    "f2_scene_rule": (scene_rule, """with g as (select doc_id, max(quality) q from labels group by 1)
+      select source, case when doc_id % 2 = 1 or q = 1 then 'kept' when q is null then 'no_group' else 'scene' end status, count(*) n from documents left
+        join g using (doc_id) group by 1, 2"""),
+    "j13_partner_flags": (partner_flags, _COS + f""", b as (select qid, max(round(sim, 9)) sim from p where qs <> 'train' and bs = 'train' and qid % 5 <> 0 group by 1)
+      select vec_id, (sim >= {SCENE})::int leaked from e left join b on qid = vec_id where split <> 'train'"""),
+    "j14_key_lookup": (key_lookup, """with a as (select distinct doc_id + case when doc_id % 9 = 0 then 1000000 else 0 end doc_id from labels),
+      n as (select doc_id, count(*) n from documents group by 1)
+      select case when n is null then 'missing' when n = 1 then 'found' else 'several' end state, count(*) as \"keys\" from a left join n using (doc_id) group by 1"""),
+    "f9_integrity": (integrity, f"""with {BOX_SQL} select 'images_without_predictions' as \"check\", count(distinct img) as \"rows\" from gt where img not in (select img from pr)
+      union all select 'labels_without_document', count(*) from labels where doc_id not in (select doc_id from documents)
+      union all select 'empty_vectors', count(*) from embeddings where len(embedding) = 0"""),
+    "u1_evaluation_keys": (evaluation_keys, """select source, count(*) as \"keys\" from (select 'documents' source, doc_id k from documents where lang = 'en' union select 'documents', doc_id from labels
+        where toxic = 1 union select 'benchmark', item_id from benchmark) group by 1"""),
     "t6_numeric_order": (numeric_order, "select 'doc_' || doc_id || '.txt' as name from documents order by doc_id limit 30"),
-    "p12_path_parts": (path_parts, r"with p as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') path from pages), b as (select page_id, path, regexp_extract(path, '([^/]*)$', 1) base from p) select page_id, base, regexp_replace(base, '\.[^.]*$', '') stem, regexp_extract(base, '(\.[^.]*)$', 1) ext, replace(path, '/', '__') flat from b"),
-    "p13_class_slots": (class_slots, f"with {BOX_SQL}, s as (select * from (values (0, 10), (1, 10), (2, 12), (4, 14)) v(cls, slot)) select slot::bigint slot, count(*) n, count(distinct cls) classes, 0::bigint agnostic from gt left join s using (cls) group by 1"),
+    "p12_path_parts": (path_parts, r"""with p as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') path from pages),
+      b as (select page_id, path, regexp_extract(path, '([^/]*)$', 1) base from p)
+      select page_id, base, regexp_replace(base, '\.[^.]*$', '') stem, regexp_extract(base, '(\.[^.]*)$', 1) ext, replace(path, '/', '__') flat from b"""),
+    "p13_class_slots": (class_slots, f"""with {BOX_SQL}, s as (select * from (values (0, 10), (1, 10), (2, 12), (4, 14)) v(cls, slot))
+      select slot::bigint slot, count(*) n, count(distinct cls) classes, 0::bigint agnostic from gt left join s using (cls) group by 1"""),
 }
 QUERIES = {k: f for k, (f, _) in _TABLE.items()}
 ORACLES = {k: s for k, (_, s) in _TABLE.items() if s}
