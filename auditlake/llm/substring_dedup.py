@@ -2,14 +2,16 @@
 
 A suffix starts at each word; only its first WINDOW words matter, and an inner node WINDOW words deep is a repeat.
 1. Suffixes that can't lie under such a node are set aside first: the hashes of all windows meet in memory-sized groups,
-   and those seen in two documents set a bit in a filter of FILTER_BITS bits. The filter's size is fixed whatever the
-   input; false positives cost only work in the next step.
+   and those seen in two documents set a bit in a filter that grows from FILTER_BITS to MOST_BITS. False positives cost only work in the next
+   step. Beyond FILTERED windows a filter of that size would be full and its groups too large, and all suffixes go on.
 2. The other suffixes are dealt by a prefix of variable length, the words up to the first that isn't among the most
-   frequent ones, so that frequent words don't gather everything. Within a task a tree is the sorted array of its
-   suffixes, each a string of WINDOW symbols (16 bits, each of three neighbouring words, cyclic; so every word is in three
-   symbols, and equal strings stand for equal windows), and the neighbours' common prefix is the depth of the node
-   above them. Nodes of full depth keep their smallest doc_id; places in later documents are repeats.
-3. Repeats become runs for each document, and the covered words are removed from the whole text.
+   frequent ones, so that frequent words don't gather everything. The number of groups grows with the input. Within a task
+   a tree is the suffix array of its suffixes, each a string of WINDOW symbols (16 bits, each of three neighbouring words,
+   cyclic; so every word is in three symbols, and equal strings stand for equal windows), with the lengths of the
+   neighbours' common prefixes: an inner node is an interval of the array whose common prefixes reach its depth. Depth
+   beyond WINDOW changes no result, so suffixes end there. Intervals of depth WINDOW keep their smallest doc_id; their
+   places in later documents are repeats.
+3. Neighbouring repeats of a document join to its maximal repeats, and the words they cover are removed from the whole text.
 Equal windows of one batch travel as one string, so a passage that many documents share is as many strings as batches.
 """
 
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 WINDOW = 13
-#: The filter's bits (32 MB); bytes of text that a batch gathers; windows and suffixes that a group is to hold.
-FILTER_BITS, BATCH_BYTES, GROUP_WINDOWS, GROUP_SUFFIXES, MOST_GROUPS = 1 << 28, 2 << 20, 1 << 19, 1 << 19, 4096
+#: The filter's least bits (32 MB); bytes of text that a batch gathers; windows and suffixes that a group is to hold.
+FILTER_BITS, BATCH_BYTES, GROUP_WINDOWS, GROUP_SUFFIXES = 1 << 28, 2 << 20, 1 << 19, 1 << 19
+#: The filter grows with the windows, to MOST_BITS (128 MB). Windows beyond which there is none: it would be full.
+MOST_BITS, FILTERED = 1 << 30, 1 << 33
 #: Words that can't end a prefix are the most frequent of about SAMPLE_DOCS documents. They balance tasks and change no result.
 FREQUENT, SAMPLE_DOCS = 256, 2000
 #: Runs of all documents together under this size are broadcast; else documents and runs are joined by shuffling.
@@ -93,6 +97,18 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("rk"))
 
 
+def _runs_of(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first, end) of the runs of an ascending array."""
+    values, first = np.unique(group, return_index=True)
+    return list(zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(group)], strict=True))
+
+
+def _depths(strings: np.ndarray) -> np.ndarray:
+    """How many symbols each of the sorted strings has in common with the one before it; 0 for the first."""
+    same = strings[1:] == strings[:-1]
+    return np.concatenate(([0], np.logical_and.accumulate(same, axis=1).sum(1))) if len(strings) else np.zeros(0, np.int64)
+
+
 def _filter(slim: DataFrame, size: int, groups: int, width: int, bits: int) -> np.ndarray:
     """Bits of the windows that two documents hold, groups after each other."""
     own = bits // groups
@@ -113,9 +129,7 @@ def _filter(slim: DataFrame, size: int, groups: int, width: int, bits: int) -> n
             order = np.argsort(group, kind="stable")
             group, h = group[order], h[order]
             low = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-            cut = np.searchsorted(group, np.arange(groups + 1))
-            some = np.flatnonzero(np.diff(cut))
-            yield pd.DataFrame({"g": some.astype(np.int32), "vals": [low[cut[g] : cut[g + 1]].tobytes() for g in some]})
+            yield pd.DataFrame([(g, low[a:b].tobytes()) for g, a, b in _runs_of(group)], columns=["g", "vals"]).astype({"g": "int32"})
 
     def reduce(part: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(part["vals"]), np.uint8).reshape(-1, width)
@@ -138,19 +152,19 @@ def _symbols(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return np.stack([triple(words[at + i], words[at + (i + 1) % size], words[at + (i + 2) % size]) for i in range(size)], axis=1)
 
 
-def _repeats(slim: DataFrame, size: int, filter_: np.ndarray, width: int, groups: int, frequent: np.ndarray) -> DataFrame:
+def _repeats(slim: DataFrame, size: int, filter_: np.ndarray | None, width: int, groups: int, frequent: np.ndarray) -> DataFrame:
     """(to, ids, rks, at): packed starts of the windows whose words also start in a document with a smaller id, dealt by document."""
-    shared = slim.sparkSession.sparkContext.broadcast(filter_)
+    shared = slim.sparkSession.sparkContext.broadcast(filter_)  # MOST_BITS at most
     mask = np.uint64((1 << (8 * width)) - 1)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = shared.value
-        own = np.uint64(bits.shape[1] * 8)
+        own = np.uint64(1 if bits is None else bits.shape[1] * 8)
         for ids, texts, rks in _gathered(batches):
             words, owner = word_hashes(texts)
             at, h = _windows(words, owner, size)
             bit = (_mixed(h & mask) % own).astype(np.int64)
-            hit = (bits[((h >> np.uint64(40)) % np.uint64(bits.shape[0])).astype(np.int64), bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+            hit = np.ones(len(h), np.uint8) if bits is None else (bits[((h >> np.uint64(40)) % np.uint64(bits.shape[0])).astype(np.int64), bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
             at, h = at[hit > 0], h[hit > 0]
             if not len(at):
                 continue
@@ -168,10 +182,8 @@ def _repeats(slim: DataFrame, size: int, filter_: np.ndarray, width: int, groups
             new = np.concatenate(([True], (group[1:] != group[:-1]) | (h[1:] != h[:-1]) | (key[1:] != key[:-1]).any(1)))
             base = np.searchsorted(owner, np.arange(len(texts)))
             doc, pos = owner[at], (at - base[owner[at]]).astype("<u4")
-            cut = np.searchsorted(group, np.arange(groups + 1))
             rows = []
-            for g in np.flatnonzero(np.diff(cut)):
-                a, b = cut[g], cut[g + 1]
+            for g, a, b in _runs_of(group):
                 u, inverse = np.unique(doc[a:b], return_inverse=True)
                 first = np.flatnonzero(new[a:b])
                 rows.append((g, key[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype("<u4").tobytes(), ids[u].astype("<i8").tobytes(), rks[u].astype("<i8").tobytes(), inverse.astype("<u4" if len(u) > 65535 else "<u2").tobytes(), pos[a:b].tobytes()))
@@ -188,10 +200,9 @@ def _repeats(slim: DataFrame, size: int, filter_: np.ndarray, width: int, groups
             seen += len(own)
         ids, rks, doc, pos = map(np.concatenate, (ids, rks, doc, pos))
         least = np.minimum.reduceat(ids[doc], np.cumsum(times) - times)  # of each string of a batch
-        # The suffix array; neighbours with a common prefix of full length are under one deep node.
+        # The suffix array and the depths of the nodes above neighbours. An interval of full depth is one deep node.
         order = np.argsort(keys.view(f"S{2 * size}"))
-        matrix = keys.view(np.uint8).reshape(-1, 2 * size)[order]
-        new = np.concatenate(([True], (matrix[1:] != matrix[:-1]).any(1)))
+        new = _depths(keys.view("<u2").reshape(-1, size)[order]) < size
         node = np.cumsum(new) - 1
         best = np.empty(len(keys), np.int64)
         best[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[node]
@@ -200,9 +211,7 @@ def _repeats(slim: DataFrame, size: int, filter_: np.ndarray, width: int, groups
         to = (_mixed(ids[doc].view(np.uint64) ^ rks[doc].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         to, doc, pos = to[order], doc[order], pos[order]
-        cut = np.searchsorted(to, np.arange(groups + 1))
-        some = np.flatnonzero(np.diff(cut))
-        blobs = [(g, ids[doc[cut[g] : cut[g + 1]]].tobytes(), rks[doc[cut[g] : cut[g + 1]]].tobytes(), pos[cut[g] : cut[g + 1]].tobytes()) for g in some]
+        blobs = [(g, ids[doc[a:b]].tobytes(), rks[doc[a:b]].tobytes(), pos[a:b].tobytes()) for g, a, b in _runs_of(to)]
         return pd.DataFrame(blobs, columns=["to", "ids", "rks", "at"])
 
     rows = slim.mapInPandas(emit, "g int, keys binary, times binary, ids binary, rks binary, doc binary, pos binary")
@@ -226,15 +235,16 @@ def _runs(found: DataFrame, size: int) -> DataFrame:
     return found.groupBy("to").applyInPandas(merge, "run_id long, run_rk long, runs binary")
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, filter_bits: int = FILTER_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, filter_bits: int = FILTER_BITS, filtered: int = FILTERED) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, and with_text the kept words joined by one space.
 
     Null texts have no words. Rows repeated under one id don't make each other repeats. A null id comes before all others.
-    Documents with fewer words than the window lose none. Other columns are ignored; an empty table gives an empty result.
+    Documents with fewer words than the window lose none. Texts of any length are read whole. Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     slim = _slim(docs, id_col, text_col)
     total = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5 + 1  # windows, about
-    groups = max(16, 1 << min(MOST_GROUPS, total // GROUP_WINDOWS).bit_length())  # a group also holds its share of the filter, a byte a bit
+    groups = max(16, 1 << (min(filtered, total) // GROUP_WINDOWS).bit_length())  # a group also holds its share of the filter, a byte a bit
     width = min(5, -(-((total // groups).bit_length() + 7) // 8))
     seen = slim.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.greatest(F.lit(1), F.lit(docs.count() // SAMPLE_DOCS))) == 0)
     counts: Counter = Counter()
@@ -242,8 +252,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
         for h, n in np.frombuffer(bytes(part), "<u8").reshape(-1, 2).tolist():
             counts[h] += n
     frequent = np.array([h for h, _ in counts.most_common(FREQUENT)], np.uint64)
-    bits = _filter(slim, size, groups, width, max(filter_bits, 8 * groups))
-    found = _repeats(slim, size, bits, width, max(8, min(MOST_GROUPS, total // 4 // GROUP_SUFFIXES)), frequent)
+    filter_bits = max(filter_bits, 8 * groups, min(MOST_BITS, 1 << (total // 8).bit_length()))
+    bits = _filter(slim, size, groups, width, filter_bits) if total <= filtered else None
+    found = _repeats(slim, size, bits, width, max(8, total // (4 if total <= filtered else 1) // GROUP_SUFFIXES), frequent)
     runs = stash(_runs(found, size))
     n, held = runs.agg(F.count("*"), F.sum(F.octet_length("runs"))).first()
     if 32 * n + (held or 0) <= BROADCAST_BYTES:

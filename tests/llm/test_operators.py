@@ -257,8 +257,23 @@ def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.probability <= 1 for r in got)
     assert {(r.doc_id, r.tokens) for r in got} == {(i, len(words(x))) for i, x, *_ in ROWS} and mixing.mix(empty).count() == 0
-    far = {(r.doc_id, r.source): r.probability for r in mixing.mix(docs, driver_cells=0).collect()}
-    assert max(abs(far[r.doc_id, r.source] - r.probability) for r in got) < 0.05
+
+
+def test_topics_follow_words_not_languages(spark):
+    rng = np.random.default_rng(1)
+    fields = {"sea": ["harbour", "anchor", "sailor", "current"], "law": ["tribunal", "statute", "verdict", "counsel"]}
+    rows = [(i, " ".join([*rng.choice(fields[f], 12), *rng.choice([f"{lang}word{k}" for k in range(5)], 12)]), lang, f) for i, (f, lang) in enumerate((f, x) for f in fields for x in ("en", "de") for _ in range(40))]
+    docs = spark.createDataFrame([r for r in rows] + [(900, None, "en", None), (901, "a b c", "en", None)], "doc_id long, text string, lang string, source string")
+    model = mixing.fit_topics(docs, 2)
+    topic = {r.doc_id: r.topic for r in mixing.measure(docs, model).collect()}
+    groups = {f: {topic[i] for i, _, _, g in rows if g == f} for f in fields}
+    assert groups["sea"] != groups["law"] and all(len(x) == 1 for x in groups.values()) and topic[900] == topic[901] == "t-"
+
+
+def test_marginals_report(docs):
+    got = {(r.dim, r.value): (r.target, r.reached) for r in mixing.marginals(mixing.mix(docs)).collect()}
+    for d in mixing.DIMS:
+        assert np.isclose(sum(t for (k, _), (t, _) in got.items() if k == d), 1) and np.isclose(sum(x for (k, _), (_, x) in got.items() if k == d), 1)
 
 
 def test_raking_meets_targets():
@@ -288,6 +303,19 @@ def test_substring(docs, empty):
     assert got == Counter(brute_repeats([r[:2] for r in ROWS], 13)) and substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_without_filter(docs):
+    got = Counter((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(docs, size=3, filtered=0).collect())
+    assert got == Counter((i, n) for i, _, n, *_ in brute_repeats([r[:2] for r in ROWS], 3))
+
+
+def test_substring_random(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i) if i % 17 else None, " ".join(rng.choice(["a", "b", "c"], int(rng.integers(0, 60))))) for i in rng.permutation(120)] + [(500, "a b c " * 100_000)]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size=5).collect())
+    assert got == Counter(brute_repeats(rows, 5))
+    assert substring_dedup._depths(np.array([[1, 2], [1, 2], [1, 3], [2, 3]])).tolist() == [0, 2, 1, 0]
+
+
 def test_substring_shuffled_runs(docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
     got = Counter((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(docs, size=3, filter_bits=64).collect())
@@ -374,7 +402,7 @@ def test_stage_near(stage_docs):
 
 def test_stage_mixing(stage_docs):
     mixed = {(r.doc_id, r.source, r.lang, r.topic): r.sampled for r in mixing.mix(stage_docs).collect()}
-    topic = {r.doc_id: r.topic for r in mixing.measure(stage_docs).collect()}
+    topic = {r.doc_id: r.topic for r in mixing.measure(stage_docs, mixing.fit_topics(stage_docs)).collect()}
     got = kept(mixing.keep_sampled(stage_docs), stage_docs)
     rows = {r.nth: r for r in stage_docs.collect()}
     assert sum(mixed.values()) > 0 and topic
