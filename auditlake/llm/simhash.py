@@ -114,7 +114,8 @@ def keep_one(docs: DataFrame, shingle: int = shingle_join.SHINGLE, similarity: f
     """
     near = shingle_join.near_copies(docs, shingle, similarity)
     gone, rk = unused(docs, "gone_id"), unused(docs, "gone_rk")
-    copies = near.where("doc_id != least").select(F.col("doc_id").alias(gone), F.col("rk").alias(rk)).distinct()
+    copies = stash(near.where("doc_id != least").select(F.col("doc_id").alias(gone), F.col("rk").alias(rk)).distinct())
+    copies = F.broadcast(copies) if copies.count() <= shingle_join.FEW else copies
     return docs.join(copies, (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(rk)), "left_anti")
 
 
