@@ -56,3 +56,14 @@ def test_fractional_logistic(spark):
     t = 1 / (1 + np.exp(-(0.5 + 1.5 * x)))
     beta, intercept = regression.fractional_logistic(spark.createDataFrame(pd.DataFrame({"x": x, "t": t})), "t", ["x"], strength=0.0)
     assert abs(beta[0] / x.std(ddof=1) - 1.5) < 0.01 and abs(intercept + beta[0] * -x.mean() / x.std(ddof=1) - 0.5) < 0.05
+
+
+def test_split_audit_goes_on_until_none_match(spark, tmp_path):
+    """So many matching pairs that some are met for the first time after twelve rounds."""
+    from auditlake import registry
+
+    rng = np.random.default_rng(1)
+    x = np.vstack([np.tile(rng.standard_normal((1500, 96)), (2, 1))])
+    pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x), "label": "a"}).to_parquet(tmp_path / "embeddings.parquet")
+    (got,) = registry.QUERIES["g4_split_audit"](spark, str(tmp_path)).collect()
+    assert got.matches == 0 and got.vectors == 3000 and 1 < got.groups <= 1500
