@@ -253,6 +253,15 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_embeddings_in_small_frames(spark, monkeypatch):
+    """Copies of vectors leave in frames of bounded size, whatever number of tiles a cell has."""
+    v = np.random.default_rng(8).standard_normal((300, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in embedding_dedup.near_vectors(df, tile=8).collect())
+    monkeypatch.setattr(embedding_dedup, "_FRAME", 1000)
+    assert sorted(tuple(r) for r in embedding_dedup.near_vectors(df, tile=8).collect()) == whole and sum(r[1] for r in whole) > 0
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.probability <= 1 for r in got)
