@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stash, table
+from .common import crc_mod, give_back, small_batches, stash, table
 
 DEPTH = 5
 #: Grams that a task builds trees of; grams whose code lengths are broadcast (12 bytes each); bytes of text that share a dictionary beyond.
-PART_GRAMS, SHARED_GRAMS, BATCH_BYTES = 300_000, 4_000_000, 16 << 20
+PART_GRAMS, SHARED_GRAMS, BATCH_BYTES = 150_000, 4_000_000, 16 << 20
 #: Words whose counts are broadcast, and their greatest length in bytes; all other words are joined by shuffling.
 FREQUENT, WORD_BYTES = 1 << 17, 64
-_CHUNK, _SLOTS, _HELD, _WORDS, _ROWS = 2 << 20, 22, 2_000_000, 300_000, 1000
+_CHUNK, _SLOTS, _HELD, _WORDS, _ROWS = 1 << 20, 22, 2_000_000, 300_000, 1000
 _NONE = {"uid": 0, "doc_id": 0, "no_id": True, "trained": False, "n_tokens": 0, "n_known": 0, "base": 0.0, "size": 0, "bits": 0.0, "word": None, "n": 0}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,7 +94,7 @@ def count_grams(texts: DataFrame, depth: int) -> DataFrame:
         key, n = _summed(keys, counts)
         yield pd.DataFrame({"key": key.view(np.int64), "c": n})
 
-    return texts.mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text", "trained").mapInPandas(give_back(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 # -- trees ------------------------------------------------------------------------------------------------------------
@@ -216,18 +216,17 @@ def code_lengths(counts: DataFrame, depth: int = DEPTH, part_grams: int = PART_G
             key = b["key"].to_numpy(np.int64)
             yield pd.DataFrame({"key": key, "bits": bits_of(key.view(np.uint64), np.frombuffer(b"".join(b["chance"]), float).reshape(-1, 8), levels)})
 
-    return grown.where("chance is not null").select("key", "chance").mapInPandas(measure, "key long, bits double")
+    return grown.where("chance is not null").select("key", "chance").mapInPandas(give_back(measure), "key long, bits double")
 
 
 # -- texts ------------------------------------------------------------------------------------------------------------
 
 
 class Lookup:
-    """Numbers by gram: a table of slots answers nearly all places, a search the others."""
+    """Numbers by gram: a table of slots answers nearly all places, a search the others. The keys ascend."""
 
     def __init__(self, key: np.ndarray, bits: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.bits = key[order], bits[order]
+        self.key, self.bits = key, bits
         self.slot = np.zeros(1 << _SLOTS, np.int32)
         self.slot[self._of(self.key)] = np.arange(len(key), dtype=np.int32)
 
@@ -243,14 +242,16 @@ class Lookup:
 
 
 def _packed(prices: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The table in the driver, 12 bytes a row."""
+    """The table in the driver, by key, 12 bytes a row."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in rows:
             yield pd.DataFrame({"key": [b["key"].to_numpy(np.int64).tobytes()], "bits": [b["bits"].to_numpy(np.float32).tobytes()]})
 
     got = prices.mapInPandas(run, "key binary, bits binary").collect()
-    return np.frombuffer(b"".join(r.key for r in got), np.uint64), np.frombuffer(b"".join(r.bits for r in got), np.float32)
+    key, bits = np.frombuffer(b"".join(r.key for r in got), np.uint64), np.frombuffer(b"".join(r.bits for r in got), np.float32)
+    order = np.argsort(key)
+    return key[order], bits[order]
 
 
 def by_dictionaries(texts: DataFrame, prices: DataFrame, depth: int, batch_bytes: int) -> DataFrame:
@@ -265,7 +266,9 @@ def by_dictionaries(texts: DataFrame, prices: DataFrame, depth: int, batch_bytes
     own = dealt.groupBy("batch").applyInPandas(need, "batch int, key long").join(prices, "key")
 
     def price(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        look = Lookup(own["key"].to_numpy(np.int64).view(np.uint64), own["bits"].to_numpy())
+        key = own["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        look = Lookup(key[order], own["bits"].to_numpy()[order])
         return pd.DataFrame({"uid": part["uid"], "bits": _lengths((x.lower() for x in part["text"]), look, depth)})
 
     return dealt.groupBy("batch").cogroup(own.groupBy("batch")).applyInPandas(lambda x, y: price(x, y), "uid long, bits double")
@@ -296,7 +299,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if seen:
             yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
 
-    return texts.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInPandas(give_back(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(words: DataFrame, most: int) -> DataFrame:
@@ -320,6 +323,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     id teach and score each. Null ids are allowed. A text of any length is scored whole. Other columns are ignored,
     whatever their names; with no training row both models are uniform; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("trained"))
     own = own.withColumn("uid", F.monotonically_increasing_id())
@@ -358,7 +362,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 yield pd.concat([out.assign(word=None, n=0), pd.DataFrame(rare, columns=["uid", "word", "n"]).assign(**{c: v for c, v in _NONE.items() if c not in ("uid", "word", "n")})])[list(_NONE)].astype({c: "int64" for c in ("n_tokens", "n_known", "size", "n")})
 
     schema = "uid long, doc_id long, no_id boolean, trained boolean, n_tokens long, n_known long, base double, size long, bits double, word binary, n long"
-    mixed = stash(own.mapInPandas(run, schema))
+    mixed = stash(own.mapInPandas(give_back(run), schema))
     # Of a word that isn't frequent each document sends one row; new words may be common, so the join is one that can be split.
     rare = mixed.where("word is not null").select("uid", "word", "n").join(words, "word", "left")
     rare = rare.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
