@@ -1,7 +1,7 @@
 """Operator 8, mixing sources to target weights by iterative proportional fitting.
 
 The tokens of every document are counted over its whole text and summed in cells of (source, language, topic). Topics are
-clusters of hashed term vectors, fitted on a bounded sample; every document is dealt to one by its whole text. Raking
+clusters of hashed term vectors, fitted on all documents; every document is dealt to one by its whole text. Raking
 scales the cells until their sums meet the targets of all three marginals, in a sample of BUDGET of all tokens; a cell
 never gets more tokens than it has, so its scale is the probability with which its documents are drawn. Where the
 targets can be met under that bound, the expected tokens of the sample have the target marginals. The draw is a hash
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,16 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import stash, table, unused
+from .common import give_back, stash, table, unstash, unused
 
 DIMS = ("source", "lang", "topic")
 #: Target shares are proportional to the power ALPHA of the present shares: 1 keeps them, 0 makes them equal.
 ALPHA = {"source": 0.5, "lang": 0.5, "topic": 0.75}
 TOPICS, SWEEPS, TOLERANCE, SEED = 8, 200, 1e-9, 8
-#: Topics are fitted on about so many documents at most, on words of so many bytes hashed to so many terms; languages with fewer
-#: of these documents have no mean of their own.
-TOPIC_DOCS, TOPIC_LETTERS, TERMS, LANG_LEAST, ITERATIONS = 4000, 5, 256, 20, 25
-_ROWS = 500
+#: Topics are fitted on words of so many bytes hashed to so many terms; languages with fewer documents have no mean of their own.
+TOPIC_LETTERS, TERMS, LANG_LEAST, ITERATIONS = 5, 256, 20, 25
+_ROWS, _LANGS = 500, 500
+#: A direction's components are whole numbers of 1 / UNIT in rows, of 1 / FINE in sums and centres. So sums and products are exact
+#: in doubles, and no result depends on how the rows are dealt to tasks.
+UNIT, FINE = 1 << 14, 1 << 20
 #: Share of all tokens in the sample.
 BUDGET = 0.5
 #: Cells raked in the driver's memory; beyond, each sweep is a Spark job over the table of cells.
@@ -46,9 +48,15 @@ class Topics(NamedTuple):
     mean: np.ndarray
     centres: np.ndarray
 
+    def rows(self, terms: np.ndarray, langs: list[str]) -> np.ndarray:
+        """What rows of terms have beyond their language, as directions in whole numbers of 1 / UNIT."""
+        if not len(langs):
+            return np.zeros((0, TERMS))
+        return np.rint(_unit(_unit(terms * self.weights) - np.stack([self.means.get(x, self.mean) for x in langs])) * UNIT)
+
     def of(self, terms: np.ndarray, langs: list[str]) -> list[str]:
-        """The topics of rows of terms: the direction nearest to what a text has beyond its language; t- without any term."""
-        best = _unit(_unit(terms * self.weights) - np.stack([self.means.get(x, self.mean) for x in langs])) @ self.centres.T if len(langs) else np.zeros((0, 1))
+        """The topics of rows of terms: the nearest direction; t- without any term."""
+        best = self.rows(terms, langs) @ self.centres.T
         return [f"t{k}" if some else "t-" for k, some in zip(best.argmax(1).tolist(), terms.any(1).tolist(), strict=True)]
 
 
@@ -58,7 +66,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def terms_of(texts: list[list[bytes]]) -> np.ndarray:
     """A row of hashed log counts of the words of TOPIC_LETTERS bytes or more for each list of words."""
-    out = np.zeros((len(texts), TERMS))
+    out = np.zeros((len(texts), TERMS), np.float32)
     for i, words in enumerate(texts):
         long = Counter(w for w in words if len(w) >= TOPIC_LETTERS)
         at = np.fromiter((zlib.crc32(w) % TERMS for w in long), np.int64, len(long))
@@ -66,31 +74,6 @@ def terms_of(texts: list[list[bytes]]) -> np.ndarray:
     return out
 
 
-def cluster(terms: np.ndarray, langs: list[str], topics: int, seed: int = SEED) -> Topics:
-    """Topics of a sample by k-means on directions. A language's mean is taken off first, so topics don't repeat the languages."""
-    weights = np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 1
-    rows = _unit(terms * weights)
-    mean = rows.mean(0) if len(rows) else np.zeros(TERMS)
-    own = np.array(langs, object)
-    means = {x: rows[own == x].mean(0) for x, n in Counter(langs).items() if n >= LANG_LEAST}
-    rows = _unit(rows - np.stack([means.get(x, mean) for x in langs])) if len(rows) else rows
-    rng = np.random.default_rng(seed)
-    centres = rows[:1]
-    while 0 < len(centres) < min(topics, len(rows)):
-        far = np.clip(1 - (rows @ centres.T).max(1), 0, None) ** 2
-        if far.sum() <= 0:
-            break
-        centres = np.vstack([centres, rows[rng.choice(len(rows), p=far / far.sum())]])
-    for _ in range(ITERATIONS):
-        at = (rows @ centres.T).argmax(1) if len(centres) else np.zeros(0, int)
-        sums = np.stack([rows[at == k].sum(0) for k in range(len(centres))]) if len(centres) else centres
-        new = np.where(np.abs(sums).sum(1)[:, None] > 0, _unit(sums), centres)
-        if np.allclose(new, centres):
-            break
-        centres = new
-    return Topics(weights, means, mean, centres if len(centres) else np.zeros((1, TERMS)))
-
-
 def _words(batch: pa.RecordBatch) -> list[list[bytes]]:
     return [(x.encode() if isinstance(x, str) else x or b"").lower().split() for x in batch.column("text").to_pylist()]
 
@@ -100,35 +83,164 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), named("source"), named("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS) -> Topics:
-    """Fitted on about TOPIC_DOCS documents at most, chosen by a hash of id and text."""
-    slim = _slim(docs)
-    draw = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    part = slim.withColumn("draw", draw).where(F.col("draw") < F.lit(min(1.0, TOPIC_DOCS / max(1, slim.count()))))
+def vectors(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, tokens, draw, terms) per row: tokens are words of the whole text, terms its terms_of() as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("draw"), b.column("lang"), pa.array([x.astype(np.float32).tobytes() for x in terms_of(_words(b))], pa.binary())], ["draw", "lang", "terms"])
+        for whole in batches:
+            for b in (whole.slice(at, _ROWS) for at in range(0, whole.num_rows, _ROWS)):
+                words = _words(b)
+                out = [*map(b.column, ("doc_id", "source", "lang")), pa.array([len(w) for w in words], pa.int64()), b.column("draw"), pa.array([x.tobytes() for x in terms_of(words)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "source", "lang", "tokens", "draw", "terms"])
 
-    rows = sorted(((r.draw, r.lang, bytes(r.terms)) for r in part.select("draw", "lang", "text").mapInArrow(run, "draw double, lang string, terms binary").collect()))  # TOPIC_DOCS rows, about
-    terms = np.frombuffer(b"".join(t for *_, t in rows), np.float32).reshape(-1, TERMS).astype(float)
-    some = terms.any(1)
-    return cluster(terms[some], [lang for (_, lang, _), ok in zip(rows, some, strict=True) if ok], topics)
+    slim = _slim(docs).withColumn("draw", F.xxhash64(F.lit(SEED + 1), "doc_id", "text"))
+    return slim.mapInArrow(give_back(run), "doc_id long, source string, lang string, tokens long, draw long, terms binary")
 
 
-def measure(docs: DataFrame, model: Topics) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens) per row: tokens are words of the whole text. Nulls: no words, source and lang as "?"."""
+def _terms(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
+
+
+def _rows(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("row").to_pylist()), np.int16).reshape(-1, TERMS).astype(float)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS))
+
+
+def _sums(df: DataFrame, part: Callable, most: int) -> dict:
+    """The sums of part(batch), a dict of arrays of whole numbers, over all rows by key. A task holds `most` keys or a batch's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.astype(np.int64) for x in held.values()], pa.list_(pa.int64()))], ["key", "v"])
+
+        for b in _parts(batches):
+            for k, x in part(b).items():
+                held[k] = held[k] + x if k in held else x
+            if len(held) > most:
+                yield made()
+                held = {}
+        yield made()
+
+    one = df.mapInArrow(give_back(run), "key string, v array<long>").select("key", F.posexplode("v").alias("at", "x")).groupBy("key", "at").agg(F.sum("x").alias("x"))
+    whole = one.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).select("key", F.col("v.x").alias("v"))
+    return {r.key: np.array(r.v, float) for r in whole.collect()}  # a row of at most TERMS + 1 numbers for each key
+
+
+def _language_means(terms: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Weights of the terms, and means of languages and of all texts, over all rows that have a term."""
+    some = lambda x: np.append((x > 0).sum(0), x.any(1).sum())
+    met = _sums(terms.select("terms"), lambda b: {"": some(_terms(b))}, 1).get("", np.zeros(TERMS + 1))
+    weights = np.log((1 + met[-1]) / (1 + met[:-1])) + 1
+
+    def by_lang(b: pa.RecordBatch) -> dict:
+        x = _terms(b)
+        has = x.any(1)
+        unit = np.column_stack([np.rint(_unit(x[has] * weights) * FINE), np.ones(has.sum())])
+        lang = b.column("lang").filter(pa.array(has)).dictionary_encode()
+        at = lang.indices.to_numpy()
+        return {k: unit[at == i].sum(0) for i, k in enumerate(lang.dictionary.to_pylist())}
+
+    sums = _sums(terms.select("lang", "terms"), by_lang, _LANGS)
+    all_ = sum(sums.values(), np.zeros(TERMS + 1))
+    means = {k: v[:-1] / (v[-1] * FINE) for k, v in sums.items() if v[-1] >= LANG_LEAST}
+    return weights, means, all_[:-1] / (max(1, all_[-1]) * FINE)
+
+
+def _uniform(draw: np.ndarray, k: int) -> np.ndarray:
+    """Numbers between 0 and 1 by the draw of a row, others for each k."""
+    x = draw.astype(np.int64).view(np.uint64) + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2**-54
+
+
+def _seed_row(rows: DataFrame, centres: np.ndarray, k: int) -> np.ndarray | None:
+    """A row drawn by its squared distance from the nearest centre (each alike if there is none); None if all are centres.
+
+    Of all rows' -log(u) / w the least one is drawn with probability w, so tasks only send their least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list = []
+        for b in _parts(batches):
+            x = _rows(b)
+            w = np.ones(len(x))
+            if len(centres):
+                w = ((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * (x @ centres.T)).min(1) ** 2
+            at = np.flatnonzero(w > 0)
+            if len(at):
+                score = -np.log(_uniform(b.column("draw").to_numpy(zero_copy_only=False)[at], k)) / w[at]
+                low = at[score == score.min()]
+                best = [min([*best, *((float(score.min()), x[i].astype(np.int16).tobytes()) for i in low)])]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in best], pa.float64()), pa.array([x for _, x in best], pa.binary())], ["score", "row"])
+
+    got = rows.mapInArrow(give_back(run), "score double, row binary").orderBy("score", "row").limit(1).collect()
+    return np.frombuffer(bytes(got[0].row), np.int16).astype(float) if got else None
+
+
+def _fit(terms: DataFrame, topics: int) -> Topics:
+    """Topics of all rows of vectors(), by k-means on directions. A language's mean is taken off first, so topics don't repeat
+    the languages. Centres are drawn among all rows, and each round goes over all rows."""
+    weights, means, mean = _language_means(terms)
+    plain = (weights, means, mean, np.zeros((1, TERMS)))
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Topics(*plain)
+        for b in _parts(batches):
+            x = _terms(b)
+            rows = own.rows(x, b.column("lang").to_pylist()).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([b.column("draw"), pa.array([r.tobytes() for r in rows], pa.binary())], ["draw", "row"]).filter(pa.array(x.any(1)))
+
+    rows = stash(terms.select("lang", "draw", "terms").mapInArrow(beyond, "draw long, row binary"))
+    centres = np.zeros((0, TERMS))
+    while len(centres) < topics and (new := _seed_row(rows, centres, len(centres))) is not None:
+        centres = np.vstack([centres, new])
+    centres = np.rint(_unit(centres) * FINE)
+    for _ in range(ITERATIONS if len(centres) else 0):
+
+        def nearest(b: pa.RecordBatch, centres: np.ndarray = centres) -> dict:
+            x = _rows(b)
+            at = (x @ centres.T).argmax(1)
+            return {str(k): x[at == k].sum(0) for k in np.unique(at).tolist()}
+
+        sums = _sums(rows.select("row"), nearest, topics)
+        new = np.stack([np.rint(_unit(v[None])[0] * FINE) if (v := sums.get(str(k))) is not None and v.any() else c for k, c in enumerate(centres)])
+        still = np.abs(new - centres).max() <= FINE * 1e-5
+        centres = new
+        if still:
+            break
+    unstash(rows)
+    return Topics(weights, means, mean, centres if len(centres) else np.zeros((1, TERMS)))
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS) -> Topics:
+    """Fitted on all documents. The result depends on the rows alone, not on their order or partitions."""
+    terms = stash(vectors(docs))
+    model = _fit(terms, topics)
+    unstash(terms)
+    return model
+
+
+def _measured(terms: DataFrame, model: Topics) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens) per row of vectors()."""
     plain = tuple(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Topics(*plain)
-        for whole in batches:
-            for b in (whole.slice(at, _ROWS) for at in range(0, whole.num_rows, _ROWS)):
-                words = _words(b)
-                topic = own.of(terms_of(words), b.column("lang").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(topic, pa.string()), pa.array([len(w) for w in words], pa.int64())], ["doc_id", "source", "lang", "topic", "tokens"])
+        for b in _parts(batches):
+            topic = pa.array(own.of(_terms(b), b.column("lang").to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*map(b.column, ("doc_id", "source", "lang")), topic, b.column("tokens")], ["doc_id", "source", "lang", "topic", "tokens"])
+
+    return terms.select("doc_id", "source", "lang", "tokens", "terms").mapInArrow(give_back(run), "doc_id long, source string, lang string, topic string, tokens long")
 
-    return _slim(docs).mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
+
+def measure(docs: DataFrame, model: Topics) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens) per row: tokens are words of the whole text. Nulls: no words, source and lang as "?"."""
+    return _measured(stash(vectors(docs)), model)
 
 
 def targets(cells: pd.DataFrame, dim: str, wanted: dict | None = None) -> pd.Series:
@@ -214,7 +326,9 @@ def mix(docs: DataFrame, wanted: dict[str, dict] | None = None, budget: float =
     Rows repeated under one id share their draw. Null ids have one draw; null sources and languages are the value "?". Texts of
     any length are counted whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    measured = stash(measure(docs, fit_topics(docs, topics)))
+    terms = stash(vectors(docs))
+    measured = stash(_measured(terms, _fit(terms, topics)))
+    unstash(terms)
     out = measured.join(probabilities(measured, wanted, budget, driver_cells), list(DIMS))
     return out.select("doc_id", *DIMS, "tokens", "probability", (_draw(seed) < F.col("probability")).alias("sampled"))
 
@@ -242,8 +356,10 @@ def keep_sampled(docs: DataFrame) -> DataFrame:
     A document's cell is found again where it is read, so texts aren't shuffled, and each row is judged for itself: rows that
     share an id share their draw, but not the probability of another cell. An empty table gives an empty result.
     """
-    model = fit_topics(docs)
-    cells = probabilities(stash(measure(docs, model)))
+    terms = stash(vectors(docs))
+    model = _fit(terms, TOPICS)
+    cells = probabilities(stash(_measured(terms, model)))
+    unstash(terms)
     names = [unused(docs, f"own_{d}") for d in DIMS]
     topic, plain = names[-1], tuple(model)
 
@@ -254,7 +370,7 @@ def keep_sampled(docs: DataFrame) -> DataFrame:
                 langs = ["?" if x is None else str(x) for x in b.column("lang").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.of(terms_of(_words(b)), langs), pa.string())], [*b.schema.names, topic])
 
-    placed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(topic, StringType())]))
+    placed = docs.mapInArrow(give_back(run), StructType([*docs.schema.fields, StructField(topic, StringType())]))
     placed = placed.withColumns({own: F.coalesce(F.col(d).cast("string"), F.lit("?")) for own, d in zip(names[:2], DIMS, strict=False)})
     chance = unused(docs, "own_chance")
     cells = cells.withColumnsRenamed({d: f"cell_{own}" for d, own in zip(DIMS, names, strict=True)} | {"probability": chance})

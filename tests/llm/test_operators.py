@@ -279,6 +279,30 @@ def test_topics_follow_words_not_languages(spark):
     assert groups["sea"] != groups["law"] and all(len(x) == 1 for x in groups.values()) and topic[900] == topic[901] == "t-"
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    rng = np.random.default_rng(2)
+    names = np.array([f"word{k}" for k in range(300)])
+    rows = [(i, " ".join(names[(rng.integers(0, 60, 12) + 60 * (i % 5)) % 300]), ("en", "de", "fr")[i % 3], "s") for i in range(6000)] + [(6000, "", "en", "s"), (6001, None, "xx", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = mixing.fit_topics(docs.repartition(3), 4)
+    again = mixing.fit_topics(docs.repartition(11).orderBy("text"), 4)
+    assert np.array_equal(model.centres, again.centres) and np.array_equal(model.weights, again.weights) and len(model.centres) == 4
+    terms = mixing.terms_of([x.encode().split() for _, x, *_ in rows[:6000]])
+    weights = np.log(6001 / (1 + (terms > 0).sum(0))) + 1
+    unit = terms * weights / np.linalg.norm(terms * weights, axis=1)[:, None]
+    lang = np.array([x for _, _, x, _ in rows[:6000]])
+    means = {x: unit[lang == x].mean(0) for x in set(lang)}
+    assert np.allclose(model.weights, weights) and model.means.keys() == means.keys() and all(np.allclose(model.means[x], m, atol=1e-5) for x, m in means.items())
+    rest = unit - np.stack([means[x] for x in lang])
+    rest /= np.linalg.norm(rest, axis=1)[:, None]
+    best = (rest @ model.centres.T).argmax(1)
+    topic = {r.doc_id: r.topic for r in mixing.measure(docs, model).collect()}
+    assert np.mean([topic[i] == f"t{k}" for i, k in enumerate(best)]) > 0.999 and topic[6000] == topic[6001] == "t-"
+    for k in range(4):  # k-means: a centre is the direction of its own rows, but for what is left after the last round
+        own = rest[best == k].sum(0)
+        assert own @ model.centres[k] / np.linalg.norm(own) / np.linalg.norm(model.centres[k]) > 0.98
+
+
 def test_marginals_report(docs):
     got = {(r.dim, r.value): (r.target, r.reached) for r in mixing.marginals(mixing.mix(docs)).collect()}
     for d in mixing.DIMS:
