@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stash, table
+from .common import crc_mod, give_back, stash, table
 
 #: The classifier is fitted on about LANG_DOCS labelled documents of each language at most, chosen by a hash of the id.
 LANG_DOCS = 5_000
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, lang_docs: int = LANG_DOCS) -> Model:
     shares = docs.sparkSession.createDataFrame([(x, min(1.0, lang_docs / n)) for x, n in zip(names, langs["docs"].tolist(), strict=True)], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit(6), "doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     sample = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # MAX_LANGS rows at most
-    counts = sample.select("lang", "text").mapInPandas(_counts, "lang string, n int, key string, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
+    counts = sample.select("lang", "text").mapInPandas(give_back(_counts), "lang string, n int, key string, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
     top = most_frequent(stash(counts))
     return Model(names, np.log10(langs["docs"].to_numpy(float) / max(1, langs["docs"].sum())), [_table(top[top["n"] == n], names) for n in range(GRAMS + 1)])
 
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for part, (lang, score, evidence) in _predicted(b, own):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(evidence)], ["doc_id", "lang_pred", "score", "evidence"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, evidence double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(give_back(run), "doc_id long, lang_pred string, score double, evidence double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, min_evidence:
             for part, (lang, score, evidence) in _predicted(b, own):
                 yield part.filter(pa.array([x != "und" and y >= min_score and z >= min_evidence for x, y, z in zip(lang, score, evidence, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(give_back(run), docs.schema)
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:

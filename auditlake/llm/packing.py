@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import give_back, stash, table
 
 TOKENIZER, LENGTH, END_ID = "byte_bpe_50k.json", 1024, 0
 #: Dimensions and bits of each on the curve; bits of the id's hash behind them. All bits fit a double exactly.
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
 
     tie = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << TIE_BITS)).alias("tie")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), tie)
-    return slim.mapInArrow(run, "doc_id long, key double, doc_tokens long, ids binary")
+    return slim.mapInArrow(give_back(run), "doc_id long, key double, doc_tokens long, ids binary")
 
 
 def dealt(coded: DataFrame, task_tokens: int = TASK_TOKENS) -> tuple[DataFrame, list[int]]:
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, en
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     schema = ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in names)
-    out = placed.repartitionById(len(sums), "bucket").sortWithinPartitions("bucket", "key", "doc_id", "ids").mapInArrow(run, schema)
+    out = placed.repartitionById(len(sums), "bucket").sortWithinPartitions("bucket", "key", "doc_id", "ids").mapInArrow(give_back(run), schema)
     return out if with_ids else out.drop("ids")
 
 

@@ -24,3 +24,16 @@ def test_op3_sends_small_batches(spark):
 
 def test_give_back_keeps_what_is_made():
     assert list(common.give_back(lambda xs: (x + 1 for x in xs))(iter(range(3)))) == [1, 2, 3]
+
+
+def test_pipeline_sends_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, with_ids: docs)
+    was = spark.conf.get(NAME)
+    try:
+        spark.conf.set(NAME, "10000")
+        corpus_pipeline.packed(spark, spark.range(1), "")
+        assert int(spark.conf.get(NAME)) <= 500
+    finally:
+        spark.conf.set(NAME, was)
