@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, give_back, stash, table
+from .common import crc_mod, give_back, local_table, stash, table
 
 #: The classifier is fitted on about LANG_DOCS labelled documents of each language at most, chosen by a hash of the id.
 LANG_DOCS = 5_000
@@ -33,7 +33,8 @@ MIN_SCORE, MIN_EVIDENCE = 0.5, 0.2
 #: Python counts numbers that aren't decimal digits (fractions, numerals) as word characters too.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _RUN, _WORD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
-_ROWS = 500
+#: Texts that are judged at once: their words and scores take much more memory than the texts.
+_ROWS = 100
 
 
 def words_of(text: str | None) -> list[str]:
@@ -135,17 +136,17 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: dict[str, Counter] = {}
     size = 0
 
-    def rows() -> pd.DataFrame:
-        out = []
-        for lang, words in seen.items():
-            out += [(lang, 0, w, c) for w, c in words.items() if len(w) <= WORD_LETTERS]
-            for n in range(1, GRAMS + 1):
-                grams: Counter = Counter()
+    def rows() -> Iterator[pd.DataFrame]:
+        """One frame for each language and n, so one of them is held at a time."""
+        while seen:
+            lang, words = seen.popitem()
+            for n in range(GRAMS + 1):
+                found: Counter = Counter()
                 for w, c in words.items():
-                    for g in grams_of(w, n):
-                        grams[g] += c
-                out += [(lang, n, g, c) for g, c in grams.items()]
-        return pd.DataFrame(out, columns=["lang", "n", "key", "c"])
+                    for g in grams_of(w, n) if n else [w] if len(w) <= WORD_LETTERS else ():
+                        found[g] += c
+                if found:
+                    yield pd.DataFrame({"lang": [lang] * len(found), "n": n, "key": list(found), "c": list(found.values())})
 
     for b in batches:
         for lang, text in zip(b["lang"], b["text"], strict=True):
@@ -154,10 +155,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words.update(words_of(text))
             size += len(words) - before
             if size > 200_000:
-                yield rows()
-                seen, size = {}, 0
-    if seen:
-        yield rows()
+                yield from rows()
+                size = 0
+    yield from rows()
 
 
 def most_frequent(counts: DataFrame) -> pd.DataFrame:
@@ -177,7 +177,7 @@ def most_frequent(counts: DataFrame) -> pd.DataFrame:
             bounds.append((lang, int(n), -1, 1.0))
     if not bounds:
         return counts.toPandas()
-    least = counts.sparkSession.createDataFrame(bounds, "lang string, n int, least int, share double")
+    least = local_table(counts.sparkSession, bounds, "lang string, n int, least int, share double")
     draw = F.pmod(F.xxhash64(F.lit(6), "key"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     taken = counts.join(F.broadcast(least), ["lang", "n"]).where((grade > F.col("least")) | ((grade == F.col("least")) & (draw < F.col("share"))))
     return taken.select("lang", "n", "key", "c").toPandas()
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, lang_docs: int = LANG_DOCS) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = labelled.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(MAX_LANGS).toPandas().sort_values("lang")
     names = langs["lang"].tolist()
-    shares = docs.sparkSession.createDataFrame([(x, min(1.0, lang_docs / n)) for x, n in zip(names, langs["docs"].tolist(), strict=True)], "lang string, share double")
+    shares = local_table(docs.sparkSession, [(x, min(1.0, lang_docs / n)) for x, n in zip(names, langs["docs"].tolist(), strict=True)], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit(6), "doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     sample = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # MAX_LANGS rows at most
     counts = sample.select("lang", "text").mapInPandas(give_back(_counts), "lang string, n int, key string, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import give_back, stash, table, unstash, unused
+from .common import give_back, local_table, stash, table, unstash, unused
 
 DIMS = ("source", "lang", "topic")
 #: Target shares are proportional to the power ALPHA of the present shares: 1 keeps them, 0 makes them equal.
@@ -285,7 +285,7 @@ def rake_table(cells: DataFrame, wanted: dict[str, dict] | None = None, budget:
     goals = {}
     for d in DIMS:
         if wanted and d in wanted:
-            goal = cells.sparkSession.createDataFrame(list(wanted[d].items()), f"{d} string, g double").join(cells.where("tokens > 0").select(d).distinct(), d)
+            goal = local_table(cells.sparkSession, wanted[d].items(), f"{d} string, g double").join(cells.where("tokens > 0").select(d).distinct(), d)
         else:
             goal = cells.where("tokens > 0").groupBy(d).agg(F.pow(F.sum("tokens") / F.lit(float(total or 1)), F.lit(ALPHA[d])).alias("g"))
         goals[d] = stash(goal)
@@ -310,7 +310,7 @@ def probabilities(measured: DataFrame, wanted: dict[str, dict] | None = None, bu
     if cells.count() > driver_cells:
         return stash(rake_table(cells, wanted, budget)).drop("tokens")
     raked = rake(cells.orderBy(*DIMS).toPandas(), wanted, budget)
-    made = cells.sparkSession.createDataFrame(raked, "source string, lang string, topic string, tokens long, probability double")
+    made = local_table(cells.sparkSession, raked.itertuples(index=False), "source string, lang string, topic string, tokens long, probability double")
     return F.broadcast(made.drop("tokens"))
 
 
@@ -341,7 +341,7 @@ def marginals(mixed: DataFrame, wanted: dict[str, dict] | None = None) -> DataFr
     for d in DIMS:
         have = mixed.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("mass")).where("tokens > 0")
         if wanted and d in wanted:
-            have = have.join(mixed.sparkSession.createDataFrame(list(wanted[d].items()), "value string, goal double"), "value", "left").fillna(0.0, ["goal"])
+            have = have.join(local_table(mixed.sparkSession, wanted[d].items(), "value string, goal double"), "value", "left").fillna(0.0, ["goal"])
         else:
             all_ = have.agg(F.sum("tokens").alias("all"))
             have = have.join(F.broadcast(all_)).withColumn("goal", F.pow(F.col("tokens") / F.col("all"), F.lit(ALPHA[d])))

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,13 +22,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, stash, table
+from .common import give_back, held, stash, table
 
 TOKENIZER, LENGTH, END_ID = "byte_bpe_50k.json", 1024, 0
 #: Dimensions and bits of each on the curve; bits of the id's hash behind them. All bits fit a double exactly.
 DIMS, BITS, TIE_BITS, SEED = 4, 8, 20, 4
 #: Tokens that one task lays out; tasks at most, which then grow and spill; keys sampled for each task's bounds. Words remembered.
-TASK_TOKENS, MOST_PARTS, PART_SAMPLE, CACHE = 4_000_000, 1 << 14, 64, 600_000
+TASK_TOKENS, MOST_PARTS, PART_SAMPLE, CACHE = 4_000_000, 1 << 14, 64, 200_000
 _REMEMBERED = 64
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 #: Byte-level BPE writes a byte as the character of its number if that is printable, else as the next one from 256 on.
@@ -141,8 +139,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = np.dtype(kind).itemsize == 4
-        held = sys.modules.setdefault("_auditlake_worker", types.ModuleType("_auditlake_worker")).__dict__  # a worker's tasks share what it has learnt
-        encoder = held.get((tokenizer, wide)) or held.setdefault((tokenizer, wide), Encoder(tokenizer, wide))
+        known = held()  # a worker's tasks share what it has learnt
+        encoder = known.get((tokenizer, wide)) or known.setdefault((tokenizer, wide), Encoder(tokenizer, wide))
         direction = np.random.default_rng(SEED).standard_normal((DIMS, size))
         end = np.array([end_id], kind).tobytes()
         for whole in batches:
@@ -158,7 +156,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
 
     tie = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << TIE_BITS)).alias("tie")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), tie)
-    return slim.mapInArrow(give_back(run), "doc_id long, key double, doc_tokens long, ids binary")
+    return slim.mapInArrow(give_back(run, keep=True), "doc_id long, key double, doc_tokens long, ids binary")
 
 
 def dealt(coded: DataFrame, task_tokens: int = TASK_TOKENS) -> tuple[DataFrame, list[int]]:
